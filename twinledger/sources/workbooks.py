@@ -1,0 +1,239 @@
+"""Spreadsheet workbooks: a directory of .xlsx files read and written one file per task.
+
+A sheet holds at most 1,048,576 rows, so a file is a bounded unit of work.
+"""
+
+from __future__ import annotations
+
+import io
+import os
+import re
+import zipfile
+from typing import Iterator
+from xml.etree import ElementTree
+from xml.sax.saxutils import escape
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from twinledger.operators.align import named
+
+_MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+_PACKAGE = "{http://schemas.openxmlformats.org/package/2006/relationships}"
+MAX_SHEET_ROWS = 1_048_575
+BATCH_ROWS = 20_000
+
+
+def _sheets(book: zipfile.ZipFile) -> dict[str, str]:
+    """Sheet name to part path, in workbook order."""
+    links = ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))
+    targets = {r.get("Id"): r.get("Target") for r in links.iter(f"{_PACKAGE}Relationship")}
+    root = ElementTree.fromstring(book.read("xl/workbook.xml"))
+    return {
+        s.get("name"): "xl/" + targets[s.get(f"{_REL}id")].removeprefix("/xl/")
+        for s in root.iter(f"{_MAIN}sheet")
+    }
+
+
+def _shared_strings(book: zipfile.ZipFile) -> list[str]:
+    if "xl/sharedStrings.xml" not in book.namelist():
+        return []
+    root = ElementTree.fromstring(book.read("xl/sharedStrings.xml"))
+    return ["".join(t.text or "" for t in si.iter(f"{_MAIN}t")) for si in root.iter(f"{_MAIN}si")]
+
+
+def _column_index(reference: str) -> int:
+    index = 0
+    for letter in re.match(r"[A-Z]+", reference).group():
+        index = index * 26 + ord(letter) - 64
+    return index - 1
+
+
+def _cell_text(cell, shared: list[str]) -> str | None:
+    kind = cell.get("t")
+    if kind == "inlineStr":
+        return "".join(t.text or "" for t in cell.iter(f"{_MAIN}t")) or None
+    value = cell.find(f"{_MAIN}v")
+    if value is None or value.text is None:
+        return None
+    if kind == "s":
+        return shared[int(value.text)] or None
+    if kind == "b":
+        return "True" if value.text == "1" else "False"
+    return value.text
+
+
+def _rows(content: bytes, sheet: str | int, skip_rows: int) -> Iterator[list[str | None]]:
+    """Cells of a sheet row by row, absent cells as None; an unknown sheet yields nothing."""
+    with zipfile.ZipFile(io.BytesIO(content)) as book:
+        sheets = _sheets(book)
+        names = list(sheets)
+        name = names[sheet] if isinstance(sheet, int) and sheet < len(names) else sheet
+        if name not in sheets:
+            return
+        shared = _shared_strings(book)
+        position = 0
+        with book.open(sheets[name]) as part:
+            for _, row in ElementTree.iterparse(part):
+                if row.tag != f"{_MAIN}row":
+                    continue
+                number = int(row.get("r", position + 1))
+                position = number
+                if number > skip_rows:
+                    cells: list[str | None] = []
+                    for cell in row.iter(f"{_MAIN}c"):
+                        at = _column_index(cell.get("r")) if cell.get("r") else len(cells)
+                        cells += [None] * (at + 1 - len(cells))
+                        cells[at] = _cell_text(cell, shared)
+                    yield cells
+                row.clear()
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path)
+
+
+def _first_workbook(spark: SparkSession, path: str) -> bytes:
+    first = _files(spark, path).orderBy("path").select("content").first()
+    if first is None:
+        raise ValueError(f"no workbook under {path!r}")
+    return bytes(first.content)
+
+
+def list_sheets(spark: SparkSession, path: str) -> list[str]:
+    with zipfile.ZipFile(io.BytesIO(_first_workbook(spark, path))) as book:
+        return list(_sheets(book))
+
+
+def read_workbooks(
+    spark: SparkSession, path: str, sheet: str | int = 0, skip_rows: int = 0
+) -> DataFrame:
+    """All rows of one sheet of every workbook, as strings under the first file's header."""
+    header = next(_rows(_first_workbook(spark, path), sheet, skip_rows), [])
+    names = [h if h is not None else f"Unnamed: {i}" for i, h in enumerate(header)] or ["_dummy"]
+    width = len(names)
+    schema = ", ".join(f"c{i} string" for i in range(width))
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [f"c{i}" for i in range(width)]
+        for batch in batches:
+            for content in batch["content"]:
+                rows = _rows(bytes(content), sheet, skip_rows)
+                next(rows, None)
+                held: list[list[str | None]] = []
+                for cells in rows:
+                    held.append((cells + [None] * width)[:width])
+                    if len(held) == BATCH_ROWS:
+                        yield pd.DataFrame(held, columns=columns, dtype=object)
+                        held = []
+                if held:
+                    yield pd.DataFrame(held, columns=columns, dtype=object)
+
+    files = _files(spark, path).select("content")
+    count = spark.sparkContext.defaultParallelism
+    return files.repartition(count).mapInPandas(parse, schema).toDF(*names)
+
+
+_TYPES = (
+    '<?xml version="1.0" encoding="UTF-8" standalone="yes"?><Types xmlns='
+    '"http://schemas.openxmlformats.org/package/2006/content-types">'
+    '<Default Extension="rels" ContentType='
+    '"application/vnd.openxmlformats-package.relationships+xml"/>'
+    '<Default Extension="xml" ContentType="application/xml"/>'
+    '<Override PartName="/xl/workbook.xml" ContentType='
+    '"application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>'
+    '<Override PartName="/xl/worksheets/sheet1.xml" ContentType='
+    '"application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>'
+)
+_RELS = (
+    '<?xml version="1.0" encoding="UTF-8" standalone="yes"?><Relationships xmlns='
+    '"http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" '
+    'Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/{kind}" '
+    'Target="{target}"/></Relationships>'
+)
+
+
+def _row_xml(cells, number: int) -> str:
+    body = "".join(
+        "<c/>" if v is None else
+        f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
+        for v in cells
+    )
+    return f'<row r="{number}">{body}</row>'
+
+
+def _write_book(path: str, sheet: str, header: list[str], rows) -> int:
+    count = 0
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as book:
+        book.writestr("[Content_Types].xml", _TYPES)
+        book.writestr("_rels/.rels", _RELS.format(kind="officeDocument", target="xl/workbook.xml"))
+        book.writestr(
+            "xl/_rels/workbook.xml.rels",
+            _RELS.format(kind="worksheet", target="worksheets/sheet1.xml"),
+        )
+        book.writestr(
+            "xl/workbook.xml",
+            f'<workbook xmlns="{_MAIN[1:-1]}" xmlns:r="{_REL[1:-1]}"><sheets>'
+            f'<sheet name="{escape(sheet)}" sheetId="1" r:id="rId1"/></sheets></workbook>',
+        )
+        with book.open("xl/worksheets/sheet1.xml", "w", force_zip64=True) as part:
+            part.write(f'<worksheet xmlns="{_MAIN[1:-1]}"><sheetData>'.encode())
+            part.write(_row_xml(header, 1).encode())
+            for cells in rows:
+                count += 1
+                part.write(_row_xml(cells, count + 1).encode())
+            part.write(b"</sheetData></worksheet>")
+    return count
+
+
+def write_workbooks(
+    df: DataFrame, directory: str, sheet: str = "Sheet1", sheet_rows: int = MAX_SHEET_ROWS
+) -> DataFrame:
+    """Write each partition as workbooks of at most ``sheet_rows`` rows; nothing is cut off.
+
+    The directory must be a path every executor mounts. A task writes under its own name and
+    renames when done, so a retried task replaces its file. Returns (file, rows) per workbook.
+    """
+    header = list(df.columns)
+    limit = min(sheet_rows, MAX_SHEET_ROWS)
+    text = df.select(*[named(c).cast("string").alias(f"c{i}") for i, c in enumerate(header)])
+    numbered = text.withColumn("_task", F.spark_partition_id())
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        os.makedirs(directory, exist_ok=True)
+        state = {"task": None}
+
+        def flow():
+            for batch in batches:
+                if len(batch):
+                    state["task"] = int(batch["_task"].iloc[0])
+                    cells = batch.drop(columns="_task").astype(object)
+                    yield from cells.where(cells.notna(), None).itertuples(index=False)
+
+        rows = flow()
+        ahead = next(rows, None)
+        shard = 0
+        while ahead is not None:
+            name = f"part-{state['task']:05d}-{shard:04d}.xlsx"
+            target = os.path.join(directory, name)
+            partial = f"{target}.{os.getpid()}.tmp"
+            rest = [ahead]
+
+            def chunk():
+                taken = 0
+                while rest and taken < limit:
+                    yield rest.pop()
+                    taken += 1
+                    following = next(rows, None)
+                    if following is not None:
+                        rest.append(following)
+
+            written = _write_book(partial, sheet, header, chunk())
+            os.replace(partial, target)
+            yield pd.DataFrame({"file": [name], "rows": [written]})
+            ahead = rest.pop() if rest else None
+            shard += 1
+
+    return numbered.mapInPandas(write, "file string, rows long")
