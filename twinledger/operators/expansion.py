@@ -79,23 +79,22 @@ def _prepare(left, right, spec, rule, mapping, rules, left_row_id, right_row_id,
     return _Parts(left_rows, right_rows, whole, a, b, a.join_keys, cells)
 
 
-def _offers(parts: _Parts) -> DataFrame:
+def _offers(parts: _Parts, min_bytes) -> DataFrame:
     """What the right side offers per key: the first right row of each mapped left value,
-    and whether any row is free for the fallback. One aggregate, combined before its shuffle."""
-    usable = parts.right.where(F.col(SPREAD) == 0)
-    keys = [named(k) for k in parts.keys]
-    owned = usable.where(MAPPED).join(
-        broadcast_if_small(parts.mapping.where(F.col(OWNER).isNotNull())), parts.cells
-    )
-    free = usable.where(~F.col(MAPPED))
-    offered = owned.select(*keys, F.lit(True).alias(MAPPED), OWNER, ROW_ID, RIGHT).union(
-        free.select(
-            *keys, F.lit(False), F.lit(""), F.lit(0).cast("bigint"),
-            absent(parts.right, RIGHT),
-        )
-    )
+    and whether any row is free for the fallback. One scan and one aggregate, combined before
+    its shuffle."""
+    usable = parts.right.drop(MAPPED).where(F.col(SPREAD) == 0)
+    owned = flag_members(usable, parts.mapping, parts.cells, MAPPED, min_bytes)
+    mapped = F.col(MAPPED)
     return (
-        offered.groupBy(*keys, MAPPED, OWNER)
+        owned.select(
+            *map(named, parts.keys),
+            MAPPED,
+            F.when(mapped, F.col(OWNER)).otherwise(F.lit("")).alias(OWNER),
+            ROW_ID,
+            F.when(mapped, F.col(RIGHT)).alias(RIGHT),
+        )
+        .groupBy(*map(named, parts.keys), MAPPED, OWNER)
         .agg(F.min_by(RIGHT, ROW_ID).alias(RIGHT))
         .withColumn("_offered", F.lit(True))
     )
@@ -106,7 +105,7 @@ def _left_outcome(parts: _Parts, min_bytes) -> DataFrame:
     asking = parts.left.withColumn(
         OWNER, F.when(F.col(MAPPED), F.col(OWNER)).otherwise(F.lit(""))
     )
-    return lookup(asking, _offers(parts), [*parts.keys, MAPPED, OWNER], "left", min_bytes)
+    return lookup(asking, _offers(parts, min_bytes), [*parts.keys, MAPPED, OWNER], "left", min_bytes)
 
 
 def answered_left(parts: _Parts, outcome: DataFrame) -> DataFrame:
@@ -144,15 +143,14 @@ def fallback_pairs(parts: _Parts, diff_pairs) -> DataFrame:
 
 def uncovered_right(parts: _Parts, min_bytes) -> DataFrame:
     """Right rows nothing on the left asks for: one anti join against the distinct wants."""
-    usable = parts.left.where(F.col(SPREAD) == 0)
     keys = [named(k) for k in parts.keys]
-    wanted = usable.where(MAPPED).join(broadcast_if_small(parts.mapping), OWNER).select(
-        *keys, F.lit(True).alias(MAPPED), *parts.cells
-    )
-    open_keys = usable.where(~F.col(MAPPED)).select(
-        *keys, F.lit(False), *[F.lit("") for _ in parts.cells]
-    )
-    wants = wanted.union(open_keys).distinct()
+    usable = parts.left.where(F.col(SPREAD) == 0).select(ROW_ID, *keys, MAPPED, OWNER)
+    asked = flag_members(usable, parts.mapping, [OWNER], "_asked", min_bytes)
+    wants = asked.select(
+        *keys,
+        MAPPED,
+        *[F.when(F.col(MAPPED), F.col(c)).otherwise(F.lit("")).alias(c) for c in parts.cells],
+    ).distinct()
     cells = [
         F.when(F.col(MAPPED), F.col(c)).otherwise(F.lit("")).alias(c) for c in parts.cells
     ]

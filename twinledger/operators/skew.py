@@ -67,11 +67,11 @@ def lookup(
     how: str,
     min_bytes: int | None = None,
 ) -> DataFrame:
-    """Join ``big`` to ``dim``, which has one row per ``on``, whatever the skew of ``big``.
+    """Join ``big`` to ``dim``, which has few rows per ``on``, whatever the skew of ``big``.
 
-    Rows of a heavy key are spread over salts by their row id and the key's single ``dim``
-    row is copied to each salt, so each row still meets exactly one partner. Rows with a NULL
-    in ``on`` meet none and are spread as well.
+    Rows of a heavy key are spread over salts by their row id and the key's ``dim`` rows are
+    copied to each salt, so each row still meets each partner once. Rows with a NULL in
+    ``on`` meet none and are spread as well.
     """
     if not is_large(big, on, min_bytes):
         return big.join(dim, on, how)
@@ -95,7 +95,7 @@ def lookup(
 def flag_members(
     big: DataFrame, members: DataFrame, on: list[str], flag: str, min_bytes: int | None = None
 ) -> DataFrame:
-    """Tell for each row whether its ``on`` values are among the distinct ``members``.
+    """Left join ``members`` and tell for each row whether it met one.
 
     A members table of checked size is broadcast; a larger one takes the skew-safe lookup.
     """

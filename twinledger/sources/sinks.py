@@ -49,7 +49,8 @@ def export_expected(
 
 def _write_csv(rows: DataFrame, path: str, sheet_rows: int | None) -> None:
     writer = rows.write.mode("overwrite").option("header", True).option("escape", '"')
-    writer = writer.option("emptyValue", "")
+    writer = writer.option("emptyValue", "").option("ignoreLeadingWhiteSpace", False)
+    writer = writer.option("ignoreTrailingWhiteSpace", False)
     if sheet_rows:
         writer = writer.option("maxRecordsPerFile", min(sheet_rows, SHEET_ROWS))
     writer.csv(path)

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinledger.functions.normalise import as_text
 from twinledger.operators.align import named
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -198,7 +199,9 @@ def write_workbooks(
     """
     header = list(df.columns)
     limit = min(sheet_rows, MAX_SHEET_ROWS)
-    text = df.select(*[named(c).cast("string").alias(f"c{i}") for i, c in enumerate(header)])
+    text = df.select(*[
+        as_text(named(f.name), f.dataType).alias(f"c{i}") for i, f in enumerate(df.schema.fields)
+    ])
     numbered = text.withColumn("_task", F.spark_partition_id())
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
