@@ -1,107 +1,106 @@
-"""Guarded date parsing and strftime-style formatting as Column expressions."""
+"""Guarded date parsing and strftime-style formatting as SQL expressions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+import re
 
-from twinledger.functions.numbers import bind
+from twinledger.functions.text import bind, literal
 
 _TIME = (
     r"(?:T|[ ]+)(?:(?:[01]?\d|2[0-3]):[0-5]?\d(?::(?:[0-5]?\d(?:\.\d*)?)?)?|24:00(?::00)?)"
     r"(?:[ ]*(?:Z|UTC|[+-]\d{1,2}(?::?\d{2})?))?"
 )
-_DATE = rf"^\s*(-?\d+)([-/ \\])(\d{{1,2}})\2(\d{{1,2}})(?:{_TIME})?\s*$"
-_MAYBE_DATE = r"^\s*-?\d+[-/ \\]\d"
+_DATE = literal(rf"^\s*(-?\d+)([-/ \\])(\d{{1,2}})\2(\d{{1,2}})(?:{_TIME})?\s*$")
+_MAYBE_DATE = literal(r"^\s*-?\d+[-/ \\]\d")
+_ISO_DATE = literal(
+    r"^(?!0000)\d{4}-\d\d-\d\d(?:[ T](?:[01]\d|2[0-3]):[0-5]\d:[0-5]\d(?:\.\d{1,6})?)?$"
+)
 _MARK = "\u0001"
 
 
-def parse_date(text: Column) -> Column:
-    """Date from year-month-day text with one repeated separator and an optional valid time."""
+def maybe_date(text: str) -> str:
+    return f"{text} RLIKE {_MAYBE_DATE}"
 
-    def four_digit_year(iso: Column) -> Column:
-        wide = F.regexp_replace(iso, r"^(-?)(\d{1,3})-", "$1000$2-")
-        return F.regexp_replace(wide, r"^(-?)0+(\d{4,})-", "$1$2-")
 
-    marked = F.regexp_replace(text, _DATE, _MARK + "$1-$3-$4")
-    loose = bind(
-        marked,
-        lambda m: F.when(
-            m.startswith(_MARK), four_digit_year(F.substring(m, 2, 40)).try_cast("date")
-        ),
-    )
-    iso_shape = (
-        (F.length(text) == 10)
-        & (F.substring(text, 5, 1) == "-")
-        & (F.substring(text, 8, 1) == "-")
-    )
-    return F.coalesce(
-        F.when(iso_shape, text.try_cast("date")), F.when(text.rlike(_MAYBE_DATE), loose)
-    )
+def iso_date(text: str) -> str:
+    """Test for an ISO date, alone or with a full time; its first ten characters then cast."""
+    return f"{text} RLIKE {_ISO_DATE}"
 
 
-def _padded(number: Column, width: int) -> Column:
-    return F.lpad(number.cast("string"), width, "0")
+def parse_date(text: str) -> str:
+    """Date from year-month-day text with one repeated separator and an optional valid time."""
+    wide = f"regexp_replace(substring(dm, 2, 40), {literal(r'^(-?)(\d{1,3})-')}, '$1000$2-')"
+    iso = f"regexp_replace({wide}, {literal(r'^(-?)0+(\d{4,})-')}, '$1$2-')"
+    marked = f"regexp_replace({text}, {_DATE}, '{_MARK}$1-$3-$4')"
+    return bind(
+        marked, "dm", f"CASE WHEN startswith(dm, '{_MARK}') THEN try_cast({iso} AS DATE) END"
+    )
 
 
-def _year(day: Column) -> Column:
-    size = F.abs(F.year(day)).cast("string")
-    size = F.when(F.length(size) < 4, F.lpad(size, 4, "0")).otherwise(size)
-    return F.when(F.year(day) < 0, F.concat(F.lit("-"), size)).otherwise(size)
+def _year(day: str) -> str:
+    size = f"abs(year({day}))"
+    return (
+        f"concat(CASE WHEN year({day}) < 0 THEN '-' ELSE '' END, "
+        f"CASE WHEN {size} < 1000 THEN lpad({size}, 4, '0') ELSE CAST({size} AS STRING) END)"
+    )
 
 
-def _token(day: Column, token: str) -> Column:
-    hour, minute = F.lit("00"), F.lit("00")
+def _token(day: str, token: str) -> str:
+    # The supported tokens; a date has no time of day.
+    constants = {
+        "%H": "00", "%M": "00", "%S": "00", "%f": "000000", "%g": "000", "%I": "12",
+        "%p": "AM", "%-H": "0", "%-M": "0", "%-S": "0", "%-I": "12", "%%": "%",
+    }
     pieces = {
-        "%Y": lambda: _year(day),
-        "%y": lambda: _padded(F.abs(F.year(day)) % 100, 2),
-        "%m": lambda: _padded(F.month(day), 2),
-        "%d": lambda: _padded(F.dayofmonth(day), 2),
-        "%j": lambda: _padded(F.dayofyear(day), 3),
-        "%b": lambda: F.date_format(day, "MMM"),
-        "%B": lambda: F.date_format(day, "MMMM"),
-        "%a": lambda: F.date_format(day, "EEE"),
-        "%A": lambda: F.date_format(day, "EEEE"),
-        "%w": lambda: (F.dayofweek(day) - 1).cast("string"),
-        "%u": lambda: (F.weekday(day) + 1).cast("string"),
-        "%H": lambda: hour,
-        "%M": lambda: minute,
-        "%S": lambda: F.lit("00"),
-        "%f": lambda: F.lit("000000"),
-        "%g": lambda: F.lit("000"),
-        "%I": lambda: F.lit("12"),
-        "%p": lambda: F.lit("AM"),
-        "%-m": lambda: F.month(day).cast("string"),
-        "%-d": lambda: F.dayofmonth(day).cast("string"),
-        "%-j": lambda: F.dayofyear(day).cast("string"),
-        "%-y": lambda: (F.abs(F.year(day)) % 100).cast("string"),
-        "%-H": lambda: F.lit("0"),
-        "%-M": lambda: F.lit("0"),
-        "%-S": lambda: F.lit("0"),
-        "%-I": lambda: F.lit("12"),
-        "%%": lambda: F.lit("%"),
+        "%Y": _year(day),
+        "%y": f"lpad(abs(year({day})) % 100, 2, '0')",
+        "%m": f"lpad(month({day}), 2, '0')",
+        "%d": f"lpad(day({day}), 2, '0')",
+        "%j": f"lpad(dayofyear({day}), 3, '0')",
+        "%b": f"date_format({day}, 'MMM')",
+        "%B": f"date_format({day}, 'MMMM')",
+        "%a": f"date_format({day}, 'EEE')",
+        "%A": f"date_format({day}, 'EEEE')",
+        "%w": f"CAST(dayofweek({day}) - 1 AS STRING)",
+        "%u": f"CAST(weekday({day}) + 1 AS STRING)",
+        "%-m": f"CAST(month({day}) AS STRING)",
+        "%-d": f"CAST(day({day}) AS STRING)",
+        "%-j": f"CAST(dayofyear({day}) AS STRING)",
+        "%-y": f"CAST(abs(year({day})) % 100 AS STRING)",
     }
+    if token in constants:
+        return literal(constants[token])
     if token not in pieces:
         raise ValueError(f"unsupported date format token {token!r}")
-    return pieces[token]()
+    return pieces[token]
+
+
+# Format tokens and their date_format letters, for four-digit years.
+_LETTERS = {
+    "%Y": "yyyy", "%y": "yy", "%m": "MM", "%d": "dd", "%j": "DDD", "%b": "MMM", "%B": "MMMM",
+    "%a": "EEE", "%A": "EEEE", "%-m": "M", "%-d": "d",
+}
+
+
+def _pieces(pattern: str) -> list[tuple[bool, str]]:
+    """The pattern as (is token, text) pieces."""
+    found = re.findall(r"%-?.|[^%]+|%$", pattern, re.DOTALL)
+    return [(piece.startswith("%"), piece) for piece in found]
 
 
-def format_date(day: Column, pattern: str) -> Column:
+def format_date(day: str, pattern: str) -> str:
     """strftime of a date; an unknown token is an error instead of silent text."""
-    parts: list[Column] = []
-    literal = ""
-    at = 0
-    while at < len(pattern):
-        if pattern[at] != "%":
-            literal += pattern[at]
-            at += 1
-            continue
-        width = 3 if pattern[at + 1 : at + 2] == "-" else 2
-        if literal:
-            parts.append(F.lit(literal))
-            literal = ""
-        parts.append(_token(day, pattern[at : at + width]))
-        at += width
-    if literal:
-        parts.append(F.lit(literal))
-    return F.concat(*parts) if parts else F.when(day.isNotNull(), F.lit(""))
+    parts = [_token(day, p) if token else literal(p) for token, p in _pieces(pattern)]
+    known = f"CASE WHEN {day} IS NOT NULL THEN '' END"
+    return f"concat({', '.join([known, *parts])})"
+
+
+def format_common_date(day: str, pattern: str) -> str:
+    """The same for years 1 to 9999, as one date_format call where every token has letters."""
+    pieces = _pieces(pattern)
+    if any(token and p not in _LETTERS for token, p in pieces):
+        return bind(day, "fd", format_date("fd", pattern))
+    letters = [
+        _LETTERS[p] if token else "'" + p.replace("'", "''") + "'" for token, p in pieces
+    ]
+    return f"date_format({day}, {literal(''.join(letters))})"

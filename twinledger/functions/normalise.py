@@ -1,4 +1,4 @@
-"""The value normaliser: an ordered fold of Column functions, no Python per row.
+"""The value normaliser: an ordered fold of SQL expressions, no Python per row.
 
 Order: text cast, trim, transform rules, empty to NULL, lower case, date text, number text.
 """
@@ -21,14 +21,22 @@ from pyspark.sql.types import (
     TimestampType,
 )
 
-from twinledger.functions.dates import format_date, parse_date
+from twinledger.functions.dates import (
+    format_common_date,
+    format_date,
+    iso_date,
+    maybe_date,
+    parse_date,
+)
 from twinledger.functions.numbers import (
-    bind,
     canonical_double,
     fixed_point,
     fixed_point_integer,
+    looks_numeric,
     parse_double,
+    short_decimal,
 )
+from twinledger.functions.text import bind, literal, quoted
 from twinledger.plans.spec import CompareOptions, TransformRule
 
 # The Unicode space separators a trim removes; tabs and newlines stay.
@@ -39,148 +47,173 @@ SPACE_SEPARATORS = (
 _NEVER_SPACED = (NumericType, BooleanType, DateType, TimestampType, TimestampNTZType)
 
 
-def as_text(column: Column, data_type: DataType | None = None) -> Column:
+def as_text(x: str, data_type: DataType | None = None) -> str:
     """Any value as canonical text; doubles keep one spelling at every magnitude."""
-    if isinstance(data_type, (DoubleType, FloatType)):
-        return canonical_double(column)
-    return column.cast("string")
+    if isinstance(data_type, DoubleType):
+        return canonical_double(x)
+    return f"CAST({x} AS STRING)"
 
 
-def _ascii(text: Column) -> Column:
-    return F.octet_length(text) == F.char_length(text)
+def _ascii(text: str) -> str:
+    return f"octet_length({text}) = char_length({text})"
 
 
-def trim_text(text: Column) -> Column:
+def trim_text(text: str) -> str:
     """Trim every Unicode space; ASCII values take the plain trim, which is far cheaper."""
-    return F.when(_ascii(text), F.trim(text)).otherwise(
-        F.btrim(text, F.lit(SPACE_SEPARATORS))
-    )
+    wide = f"trim(BOTH {literal(SPACE_SEPARATORS)} FROM {text})"
+    return f"CASE WHEN {_ascii(text)} THEN trim({text}) ELSE {wide} END"
 
 
-def lower_text(text: Column) -> Column:
+def lower_text(text: str) -> str:
     """Per-character lower case: the two letters with contextual forms are mapped first."""
-    return F.when(_ascii(text), F.lower(text)).otherwise(
-        F.lower(F.translate(text, "İΣ", "iσ"))
-    )
+    plain = f"lower(translate({text}, 'İΣ', 'iσ'))"
+    return f"CASE WHEN {_ascii(text)} THEN lower({text}) ELSE {plain} END"
 
 
-def _prefix(text: Column, params: dict[str, Any]) -> Column:
-    return F.concat_ws("", F.lit(str(params.get("text", ""))), text)
+def _prefix(text: str, params: dict[str, Any]) -> str:
+    return f"concat_ws('', {literal(str(params.get('text', '')))}, {text})"
 
 
-def _suffix(text: Column, params: dict[str, Any]) -> Column:
-    return F.concat_ws("", text, F.lit(str(params.get("text", ""))))
+def _suffix(text: str, params: dict[str, Any]) -> str:
+    return f"concat_ws('', {text}, {literal(str(params.get('text', '')))})"
 
 
-def _pad(pad: Callable[..., Column], default: str) -> Callable[[Column, dict], Column]:
-    def apply(text: Column, params: dict[str, Any]) -> Column:
+def _pad(function: str, default: str) -> Callable[[str, dict], str]:
+    def apply(text: str, params: dict[str, Any]) -> str:
         length = max(1, int(params.get("length", 10)))
-        return pad(text, length, str(params.get("pad_char", default))[:1] or default)
+        filler = str(params.get("pad_char", default))[:1] or default
+        return f"{function}({text}, {length}, {literal(filler)})"
 
     return apply
 
 
-def _strip_chars(text: Column, params: dict[str, Any]) -> Column:
+def _strip_chars(text: str, params: dict[str, Any]) -> str:
     unwanted = str(params.get("chars", ""))
-    return F.translate(text, unwanted, "") if unwanted else text
+    return f"translate({text}, {literal(unwanted)}, '')" if unwanted else text
 
 
-def _replace(text: Column, params: dict[str, Any]) -> Column:
+def _replace(text: str, params: dict[str, Any]) -> str:
     old = str(params.get("old", ""))
-    return F.replace(text, F.lit(old), F.lit(str(params.get("new", "")))) if old else text
+    new = literal(str(params.get("new", "")))
+    return f"replace({text}, {literal(old)}, {new})" if old else text
 
 
-def _substring(text: Column, params: dict[str, Any]) -> Column:
+def _substring(text: str, params: dict[str, Any]) -> str:
     start, length = (max(1, int(params.get(k, d))) for k, d in (("start", 1), ("length", 10)))
-    return F.substring(text, start, length)
+    return f"substring({text}, {start}, {length})"
 
 
-TRANSFORMS: dict[str, Callable[[Column, dict], Column]] = {
+TRANSFORMS: dict[str, Callable[[str, dict], str]] = {
     "prefix": _prefix,
     "suffix": _suffix,
-    "lpad": _pad(F.lpad, "0"),
-    "rpad": _pad(F.rpad, " "),
+    "lpad": _pad("lpad", "0"),
+    "rpad": _pad("rpad", " "),
     "strip_chars": _strip_chars,
     "replace": _replace,
     "substring": _substring,
 }
 
 
-def apply_rule(text: Column, rule: TransformRule) -> Column:
+def apply_rule(text: str, rule: TransformRule) -> str:
     """One transform; an unknown kind leaves the value as it is."""
     transform = TRANSFORMS.get(rule.transform_type)
     return transform(text, rule.params) if transform and rule.enabled else text
 
 
-def normalise_date(text: Column, pattern: str) -> Column:
-    def rewrite(value: Column) -> Column:
-        day = bind(parse_date(value), lambda d: format_date(d, pattern))
-        return F.coalesce(day, value)
-
-    return bind(text, rewrite)
-
+def normalise_date(text: str, pattern: str) -> str:
+    """Dates as formatted text, anything else unchanged; ISO dates take the short way."""
+    common = format_common_date(f"try_cast(substring({text}, 1, 10) AS DATE)", pattern)
+    loose = bind(parse_date("nd"), "nf", format_date("nf", pattern))
+    return (
+        f"CASE WHEN {iso_date(text)} THEN coalesce({common}, {text}) "
+        f"WHEN {maybe_date(text)} THEN {bind(text, 'nd', f'coalesce({loose}, nd)')} "
+        f"ELSE {text} END"
+    )
 
-def normalise_number(text: Column, places: int) -> Column:
-    def rewrite(value: Column) -> Column:
-        number = bind(parse_double(value), lambda v: fixed_point(v, places))
-        return F.coalesce(number, value)
 
-    return bind(text, rewrite)
+def normalise_number(text: str, places: int) -> str:
+    """Numbers as fixed-point text, anything else unchanged; short decimals need no double."""
+    plain, rounded = short_decimal(text, places)
+    number = bind(parse_double("nt"), "nv", fixed_point("nv", places))
+    return (
+        f"CASE WHEN {plain} THEN {rounded} "
+        f"WHEN {looks_numeric(text)} THEN {bind(text, 'nt', f'coalesce({number}, nt)')} "
+        f"ELSE {text} END"
+    )
 
 
-def _typed(column: Column, options: CompareOptions, data_type: DataType | None) -> Column | None:
+def _typed(x: str, options: CompareOptions, data_type: DataType | None) -> str | None:
     """Shortcut for columns whose type already settles the date or number step."""
     if isinstance(data_type, (DateType, TimestampType, TimestampNTZType)):
-        if options.normalize_date and not options.normalize_number:
-            return format_date(column.cast("date"), options.date_format)
+        if options.normalize_date:
+            text = format_date(f"CAST({x} AS DATE)", options.date_format)
+            if options.normalize_number:
+                text = bind(text, "ty", normalise_number("ty", options.decimal_places))
+            return text
     elif isinstance(data_type, IntegralType):
         if options.normalize_number:
-            return fixed_point_integer(column, options.decimal_places)
-        return column.cast("string")
+            return fixed_point_integer(x, options.decimal_places)
+        return f"CAST({x} AS STRING)"
     elif isinstance(data_type, DoubleType):
         if options.normalize_number:
-            return fixed_point(column, options.decimal_places)
-        return canonical_double(column)
+            return fixed_point(x, options.decimal_places)
+        return canonical_double(x)
     return None
 
 
-def normalise(
-    column: Column,
+def normalise_expression(
+    x: str,
     options: CompareOptions,
     rules: Iterable[TransformRule] = (),
     data_type: DataType | None = None,
-) -> Column:
+) -> str:
+    """SQL text that cleans the SQL expression ``x`` of the given type."""
+    if isinstance(data_type, FloatType):
+        x, data_type = f"CAST(CAST({x} AS STRING) AS DOUBLE)", DoubleType()
     rules = [r for r in rules if r.enabled]
-    shortcut = None if rules else _typed(column, options, data_type)
+    shortcut = None if rules else _typed(x, options, data_type)
     if shortcut is not None:
         return shortcut
-    text = as_text(column, data_type)
+    text = as_text(x, data_type)
     if options.trim_whitespace and not isinstance(data_type, _NEVER_SPACED):
         text = trim_text(text)
     for rule in rules:
         text = apply_rule(text, rule)
     if options.treat_empty_as_null:
-        text = F.nullif(text, F.lit(""))
+        text = f"nullif({text}, '')"
     if options.ignore_case:
         text = lower_text(text)
     if options.normalize_date:
         text = normalise_date(text, options.date_format)
     if options.normalize_number:
-        text = normalise_number(text, options.decimal_places)
+        if options.normalize_date:
+            text = bind(text, "no", normalise_number("no", options.decimal_places))
+        else:
+            text = normalise_number(text, options.decimal_places)
     return text
 
 
-def normalise_mapping_value(text: Column, options: CompareOptions) -> Column:
+def normalise(
+    name: str,
+    options: CompareOptions,
+    rules: Iterable[TransformRule] = (),
+    data_type: DataType | None = None,
+) -> Column:
+    """The cleaned value of a column, by its name."""
+    return F.expr(normalise_expression(quoted(name), options, rules, data_type))
+
+
+def normalise_mapping_value(name: str, options: CompareOptions) -> Column:
     """Mapping cells get trim, empty to NULL and case only — never rules, dates or numbers."""
     plain = CompareOptions(
         trim_whitespace=options.trim_whitespace,
         treat_empty_as_null=options.treat_empty_as_null,
         ignore_case=options.ignore_case,
     )
-    return normalise(text, plain)
+    return normalise(name, plain)
 
 
-def key_text(column: Column, data_type: DataType | None = None) -> Column:
+def key_text(name: str, data_type: DataType | None = None) -> Column:
     """Keys are only cast and trimmed, whatever the options say."""
-    text = as_text(column, data_type)
-    return text if isinstance(data_type, _NEVER_SPACED) else trim_text(text)
+    text = as_text(quoted(name), data_type)
+    return F.expr(text if isinstance(data_type, _NEVER_SPACED) else trim_text(text))

@@ -1,150 +1,170 @@
-"""Number text: canonical doubles and exact fixed-point formatting, all as Column expressions."""
+"""Number text as SQL expressions: canonical doubles and exact fixed-point formatting."""
 
 from __future__ import annotations
 
-from typing import Callable
+from decimal import Decimal
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from twinledger.functions.text import bind, literal
 
 _DIGITS = r"\d+(?:_\d+)*"
-_NUMBER = (
-    rf"^[ \t\n\x0B\f\r]*[+-]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})"
-    rf"(?:[eE][+-]?{_DIGITS})?[ \t\n\x0B\f\r]*$"
+_SPACE = r"[ \t\n\x0B\f\r]*"
+_NUMBER = literal(
+    rf"^{_SPACE}[+-]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?{_SPACE}$"
 )
-_SPECIAL = r"(?i)^[ \t\n\x0B\f\r]*[+-]?(?:inf(?:inity)?|nan)[ \t\n\x0B\f\r]*$"
+_SPECIAL = literal(rf"(?i)^{_SPACE}[+-]?(?:inf(?:inity)?|nan){_SPACE}$")
 
-_TWO_53 = float(2**53)
-_TWO_63 = float(2**63)
-_SPLITTER = float(2**27 + 1)
+_TWO_53 = "9007199254740992D"
+_TWO_63 = "9223372036854775808D"
+_INFINITY = "CAST('Infinity' AS DOUBLE)"
+_SPLITTER = 2**27 + 1
 
 
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and hand it to ``body``; keeps deep expressions linear in size."""
-    return F.transform(F.array(value), body).getItem(0)
+def _not_finite(x: str) -> str:
+    return (
+        f"CASE WHEN isnan({x}) THEN 'nan' WHEN {x} = {_INFINITY} THEN 'inf' "
+        f"WHEN {x} = -{_INFINITY} THEN '-inf' END"
+    )
 
 
-def _without_exponent(text: Column, scale: int) -> Column:
-    digits = F.regexp_replace(text.try_cast(f"decimal(38,{scale})").cast("string"), "0+$", "")
-    return bind(digits, lambda d: F.when(d.endswith("."), F.concat(d, F.lit("0"))).otherwise(d))
+def _without_exponent(text: str, scale: int) -> str:
+    digits = f"rtrim('0', CAST(try_cast({text} AS DECIMAL(38,{scale})) AS STRING))"
+    return bind(digits, "we", "CASE WHEN endswith(we, '.') THEN concat(we, '0') ELSE we END")
 
 
-def _with_exponent(text: Column) -> Column:
-    mantissa = F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", "")
-    power = F.substring_index(text, "E", -1)
-    sign = F.when(power.startswith("-"), F.lit("e-")).otherwise(F.lit("e+"))
-    digits = F.regexp_replace(F.regexp_replace(power, "^-", ""), r"^(\d)$", "0$1")
-    return F.concat(mantissa, sign, digits)
+def _with_exponent(text: str) -> str:
+    mantissa = f"regexp_replace(substring_index({text}, 'E', 1), {literal(r'\.0$')}, '')"
+    power = f"substring_index({text}, 'E', -1)"
+    sign = f"CASE WHEN startswith({power}, '-') THEN 'e-' ELSE 'e+' END"
+    digits = f"regexp_replace(ltrim('-', {power}), {literal(r'^(\d)$')}, '0$1')"
+    return f"concat({mantissa}, {sign}, {digits})"
 
 
-def _not_finite(value: Column) -> Column:
-    return (
-        F.when(F.isnan(value), F.lit("nan"))
-        .when(value == float("inf"), F.lit("inf"))
-        .when(value == float("-inf"), F.lit("-inf"))
+def canonical_double(x: str) -> str:
+    """Shortest text of a double: plain from 1e-4 up to 1e16, otherwise ``1.5e+16`` style."""
+    text, size = "CAST(cd AS STRING)", "abs(cd)"
+    rare = (
+        f"coalesce({_not_finite('cd')}, CASE WHEN {size} >= 1e16D THEN {_with_exponent(text)} "
+        f"WHEN {size} >= 1e7D THEN {_without_exponent(text, 10)} "
+        f"WHEN {size} >= 1e-4D THEN {_without_exponent(text, 22)} "
+        f"ELSE {_with_exponent(text)} END)"
     )
-
-
-def _canonical_rare(value: Column) -> Column:
-    text, size = value.cast("string"), F.abs(value)
-    return F.coalesce(
-        _not_finite(value),
-        F.when(size >= 1e16, _with_exponent(text))
-        .when(size >= 1e7, _without_exponent(text, 10))
-        .when(size >= 1e-4, _without_exponent(text, 22))
-        .otherwise(_with_exponent(text)),
+    return (
+        f"CASE WHEN {x} = 0 OR (abs({x}) >= 1e-3D AND abs({x}) < 1e7D) THEN CAST({x} AS STRING) "
+        f"ELSE {bind(x, 'cd', rare)} END"
     )
 
 
-def canonical_double(value: Column) -> Column:
-    """Shortest text of a double: plain from 1e-4 up to 1e16, otherwise ``1.5e+16`` style."""
-    size = F.abs(value)
-    return F.when(
-        (value == 0) | ((size >= 1e-3) & (size < 1e7)), value.cast("string")
-    ).otherwise(bind(value, _canonical_rare))
+def looks_numeric(text: str) -> str:
+    return f"({text} RLIKE {_NUMBER} OR {text} RLIKE {_SPECIAL})"
 
 
-def parse_double(text: Column) -> Column:
+def parse_double(text: str) -> str:
     """Double from decimal text (``_`` between digits allowed); NULL for anything else."""
-    ordinary = F.regexp_replace(text, "_", "").try_cast("double")
-    return F.when(text.rlike(_NUMBER), ordinary).when(
-        text.rlike(_SPECIAL), F.trim(F.lower(text)).try_cast("double")
+    return (
+        f"CASE WHEN {text} RLIKE {_NUMBER} THEN try_cast(replace({text}, '_') AS DOUBLE) "
+        f"WHEN {text} RLIKE {_SPECIAL} THEN try_cast(trim(lower({text})) AS DOUBLE) END"
     )
 
 
-def _product_error(a: Column, b: float, product: Column) -> Column:
+def _product_error(a: str, b: int, product: str) -> str:
     """Exact rounding error of ``a * b`` by splitting both factors in halves."""
-    b_high = _SPLITTER * b - (_SPLITTER * b - b)
-    b_low = b - b_high
-    spread = a * _SPLITTER
-    a_high = spread - (spread - a)
-    a_low = a - a_high
-    return ((a_high * b_high - product) + a_high * b_low + a_low * b_high) + a_low * b_low
-
-
-def _exact(value: Column, places: int) -> Column:
-    scale = float(10**places)
-
-    def rounded(size: Column, whole: Column) -> Column:
-        part = F.when(size < _TWO_53, size - whole.cast("double")).otherwise(F.lit(0.0))
-
-        def split(p: Column) -> Column:
-            scaled = p * scale
-            below = F.floor(scaled)
-            lean = (scaled - below.cast("double") - 0.5) + _product_error(p, scale, scaled)
-            return F.struct(below.alias("below"), lean.alias("lean"))
-
-        def digits(s: Column) -> Column:
-            odd = (whole if places == 0 else s.below) % 2 == 1
-            up = (s.lean > 0) | ((s.lean == 0) & odd)
-            return s.below + F.when(up, 1).otherwise(0)
-
-        def text(units: Column) -> Column:
-            carry = F.when(units >= int(scale), 1).otherwise(0)
-            front = (whole + carry).cast("string")
-            if not places:
-                return front
-            back = (units - carry * int(scale)).cast("string")
-            return F.concat(front, F.lit("."), F.lpad(back, places, "0"))
-
-        return bind(bind(bind(part, split), digits), text)
-
-    def huge(size: Column) -> Column:
-        high = F.floor(size / _TWO_63)
-        low = (size - high.cast("double") * _TWO_63).try_cast("bigint")
-        whole = high.cast("decimal(19,0)") * F.lit(str(2**63)).cast("decimal(19,0)") + low
-        zeros = "." + "0" * places if places else ""
-        return F.concat(whole.try_cast("decimal(38,0)").cast("string"), F.lit(zeros))
-
-    def magnitude(size: Column) -> Column:
-        return (
-            F.when(size < _TWO_63, bind(F.floor(size), lambda whole: rounded(size, whole)))
-            .when(size < 9e37, huge(size))
-            .otherwise(F.format_string(f"%.{places}f", size))
-        )
-
-    sign = F.when(value.cast("string").startswith("-"), F.lit("-")).otherwise(F.lit(""))
-    return F.coalesce(_not_finite(value), F.concat(sign, bind(F.abs(value), magnitude)))
-
-
-def fixed_point(value: Column, places: int) -> Column:
+    factor = float(b)
+    b_high = _SPLITTER * factor - (_SPLITTER * factor - factor)
+    b_low = factor - b_high
+    spread = f"({a} * {_SPLITTER}D)"
+    high = f"({spread} - ({spread} - {a}))"
+    low = f"({a} - {high})"
+    return (
+        f"((({high} * {b_high!r}D - {product}) + {high} * {b_low!r}D + {low} * {b_high!r}D) "
+        f"+ {low} * {b_low!r}D)"
+    )
+
+
+def _exact(x: str, places: int) -> str:
+    """The general route: whole and fractional part apart, the fraction's product exact."""
+    scale = 10**places
+    odd = "fw % 2 = 1" if places == 0 else "fs.below % 2 = 1"
+    text = "CAST(fw + (CASE WHEN fu >= {0} THEN 1 ELSE 0 END) AS STRING)".format(scale)
+    if places:
+        back = f"CAST(fu - (CASE WHEN fu >= {scale} THEN {scale} ELSE 0 END) AS STRING)"
+        text = f"concat({text}, '.', lpad({back}, {places}, '0'))"
+    units = f"fs.below + CASE WHEN fs.lean > 0 OR (fs.lean = 0 AND {odd}) THEN 1 ELSE 0 END"
+    scaled = f"(fp * {scale}D)"
+    split = (
+        f"named_struct('below', floor({scaled}), 'lean', "
+        f"({scaled} - CAST(floor({scaled}) AS DOUBLE) - 0.5D) + {_product_error('fp', scale, scaled)})"
+    )
+    part = f"CASE WHEN fm < {_TWO_53} THEN fm - CAST(fw AS DOUBLE) ELSE 0D END"
+    rounded = bind(bind(bind(part, "fp", split), "fs", units), "fu", text)
+    high = f"floor(fm / {_TWO_63})"
+    low = f"try_cast(fm - CAST({high} AS DOUBLE) * {_TWO_63} AS BIGINT)"
+    whole = f"CAST({high} AS DECIMAL(19,0)) * CAST('{2**63}' AS DECIMAL(19,0)) + {low}"
+    zeros = "." + "0" * places if places else ""
+    huge = f"concat(CAST(try_cast({whole} AS DECIMAL(38,0)) AS STRING), '{zeros}')"
+    magnitude = (
+        f"CASE WHEN fm < {_TWO_63} THEN {bind('floor(fm)', 'fw', rounded)} "
+        f"WHEN fm < 9e37D THEN {huge} ELSE format_string('%.{places}f', fm) END"
+    )
+    sign = f"CASE WHEN startswith(CAST({x} AS STRING), '-') THEN '-' ELSE '' END"
+    return f"coalesce({_not_finite(x)}, concat({sign}, {bind(f'abs({x})', 'fm', magnitude)}))"
+
+
+def _settled_tie(size: str, places: int) -> str:
+    """Digits of a magnitude whose shortest text ends in the tie digit: the sign of the exact
+    product's remainder tells whether the binary value lies above, below or on the tie."""
+    scale = 10 ** (places + 1)
+    product = f"({size} * {scale}D)"
+    kept = f"floor(rint({product}) / 10)"
+    lean = f"(({product} - rint({product})) + {_product_error(size, scale, product)})"
+    up = f"CASE WHEN {lean} > 0 OR ({lean} = 0 AND {kept} % 2 = 1) THEN 1 ELSE 0 END"
+    units = f"({kept} + {up})"
+    if not places:
+        return f"CAST({units} AS STRING)"
+    step = format(Decimal(1).scaleb(-places), "f")
+    return f"CAST(CAST({units} AS DECIMAL(18,0)) * {step}BD AS STRING)"
+
+
+def fixed_point(x: str, places: int) -> str:
     """``%.{places}f`` of the exact binary value, ties to even (2.675 gives 2.67).
 
     A decimal cast rounds the shortest decimal text half up, which gives the same digits except
-    where that text is itself a tie; ties, exponents and negative fractions take the exact
-    route. Magnitudes from 9e37 up keep the JVM formatter's digits.
+    where that text is itself a tie; ties are settled by exact arithmetic. Huge and non-finite
+    values take a slower general route, and from 9e37 up keep the JVM formatter's digits.
     """
     if not 0 <= places <= 15:
         raise ValueError("decimal places must be between 0 and 15")
-    plain = value.cast("string").rlike(rf"^(?:-?[1-9]\d*|0)\.(?!\d{{{places}}}5$)\d+$")
-    decimal = value.try_cast(f"decimal({places + 9},{places})").cast("string")
-    return F.when(plain, decimal).when(value.isNotNull(), _exact(value, places))
+    size = f"abs({x})"
+    text = (
+        f"CASE WHEN {size} >= 1e-3D AND {size} < 1e7D THEN CAST({size} AS STRING) "
+        f"WHEN {size} >= 1e7D THEN CAST(try_cast(CAST({size} AS STRING) AS DECIMAL(38,10)) AS STRING) "
+        f"ELSE CAST(try_cast(CAST({size} AS STRING) AS DECIMAL(38,22)) AS STRING) END"
+    )
+    tie = literal(rf"^\d+\.\d{{{places}}}50*$")
+    digits = (
+        f"CASE WHEN ({text}) RLIKE {tie} THEN {_settled_tie(size, places)} "
+        f"ELSE CAST(try_cast(({text}) AS DECIMAL(30,{places})) AS STRING) END"
+    )
+    sign = f"CASE WHEN startswith(CAST({x} AS STRING), '-') THEN '-' ELSE '' END"
+    return (
+        f"CASE WHEN {size} * {10 ** (places + 1)}D < {_TWO_53} THEN concat({sign}, {digits}) "
+        f"WHEN {x} IS NOT NULL THEN {bind(x, 'fx', _exact('fx', places))} END"
+    )
+
 
+def short_decimal(text: str, places: int) -> tuple[str, str]:
+    """Test for and rounding of plain decimals of up to 15 digits that are no tie; for these
+    the text is the shortest form of its double, so no double is needed."""
+    plain = literal(rf"^-?\d{{1,9}}(?:\.(?!\d{{{places}}}50*$)\d{{1,6}})?$")
+    digits = f"CAST(try_cast(ltrim('-', {text}) AS DECIMAL(30,{places})) AS STRING)"
+    sign = f"CASE WHEN startswith({text}, '-') THEN '-' ELSE '' END"
+    return f"{text} RLIKE {plain}", f"concat({sign}, {digits})"
 
-def fixed_point_integer(value: Column, places: int) -> Column:
+
+def fixed_point_integer(x: str, places: int) -> str:
     """Fixed-point text of an integer column; beyond 2^53 it rounds as a double would."""
     zeros = "." + "0" * places if places else ""
-    exact = F.abs(value.cast("decimal(20,0)")) <= 2**53
-    return F.when(exact, F.concat(value.cast("string"), F.lit(zeros))).otherwise(
-        fixed_point(value.cast("double"), places)
+    rounded = bind(f"CAST({x} AS DOUBLE)", "fi", fixed_point("fi", places))
+    return (
+        f"CASE WHEN {x} BETWEEN -{2**53} AND {2**53} THEN concat(CAST({x} AS STRING), '{zeros}') "
+        f"ELSE {rounded} END"
     )

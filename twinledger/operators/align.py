@@ -78,14 +78,14 @@ def align(
     keys = []
     for pair in spec.key_columns:
         source = pair.left_col if side == LEFT else pair.right_col
-        text = key_text(named(source), types.get(source.lower()))
+        text = key_text(source, types.get(source.lower()))
         keys.append(text.alias(f"key_{pair.left_col}"))
     key_names = tuple(f"key_{p.left_col}" for p in spec.key_columns)
     compared = [p.left_col if side == LEFT else p.right_col for p in spec.compare_columns]
     columns = unique_names([*compared, *extra])
     values = [
         normalise(
-            named(c), spec.options, rules_for(rules, c, side), types.get(c.lower())
+            c, spec.options, rules_for(rules, c, side), types.get(c.lower())
         ).alias(f"{side}_{c}")
         for c in columns
     ]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from twinledger.functions.normalise import normalise_mapping_value
 from twinledger.operators.align import ROW_ID, SPREAD, View, align, named
 from twinledger.operators.comparison import Comparison, absent, pair_status
-from twinledger.operators.skew import flag_members, lookup
+from twinledger.operators.skew import flag_members, is_large, lookup
 from twinledger.plans.spec import (
     BOTH,
     LEFT,
@@ -27,7 +27,7 @@ from twinledger.plans.spec import (
     ExpansionRule,
     TransformRule,
 )
-from twinledger.session import broadcast_if_small
+from twinledger.session import broadcast_if_small, fits_broadcast
 
 OWNER = "_owner"
 MAPPED = "_mapped"
@@ -48,6 +48,9 @@ class _Parts:
     right_view: View
     keys: list[str]
     cells: list[str]
+    small_mapping: bool
+    large_left: bool
+    large_right: bool
 
 
 def _prepare(left, right, spec, rule, mapping, rules, left_row_id, right_row_id,
@@ -57,15 +60,18 @@ def _prepare(left, right, spec, rule, mapping, rules, left_row_id, right_row_id,
     by_lower = {v.lower(): v for v in (*a.values, *b.values)}
     cells = [f"rc_{i}" for i in range(len(rule.right_cols))]
     clean = mapping.select(
-        normalise_mapping_value(F.col("left_val"), spec.options).alias(OWNER),
-        *[normalise_mapping_value(F.col(c), spec.options).alias(c) for c in cells],
+        normalise_mapping_value("left_val", spec.options).alias(OWNER),
+        *[normalise_mapping_value(c, spec.options).alias(c) for c in cells],
     ).distinct()
+    small = fits_broadcast(mapping)
+    large_left = is_large(a.frame, a.join_keys, min_bytes)
+    large_right = is_large(b.frame, b.join_keys, min_bytes)
     owner = named(by_lower[f"{LEFT}_{rule.left_col}".lower()])
     left_rows = a.frame.select(
         ROW_ID, *map(named, a.join_keys), owner.alias(OWNER), a.payload().alias(LEFT)
     )
     owners = clean.where(F.col(OWNER).isNotNull()).select(OWNER).distinct()
-    left_rows = flag_members(left_rows, owners, [OWNER], MAPPED, min_bytes)
+    left_rows = flag_members(left_rows, owners, [OWNER], MAPPED, small, large_left)
     right_cells = [
         named(by_lower[f"{RIGHT}_{c}".lower()]).alias(cell)
         for c, cell in zip(rule.right_cols, cells)
@@ -75,16 +81,20 @@ def _prepare(left, right, spec, rule, mapping, rules, left_row_id, right_row_id,
     )
     whole = clean.where(" AND ".join(f"{c} IS NOT NULL" for c in cells))
     tuples = whole.select(*cells).distinct()
-    right_rows = flag_members(right_rows, tuples, cells, MAPPED, min_bytes)
-    return _Parts(left_rows, right_rows, whole, a, b, a.join_keys, cells)
+    right_rows = flag_members(right_rows, tuples, cells, MAPPED, small, large_right)
+    return _Parts(
+        left_rows, right_rows, whole, a, b, a.join_keys, cells, small, large_left, large_right
+    )
 
 
-def _offers(parts: _Parts, min_bytes) -> DataFrame:
+def _offers(parts: _Parts) -> DataFrame:
     """What the right side offers per key: the first right row of each mapped left value,
     and whether any row is free for the fallback. One scan and one aggregate, combined before
     its shuffle."""
     usable = parts.right.drop(MAPPED).where(F.col(SPREAD) == 0)
-    owned = flag_members(usable, parts.mapping, parts.cells, MAPPED, min_bytes)
+    owned = flag_members(
+        usable, parts.mapping, parts.cells, MAPPED, parts.small_mapping, parts.large_right
+    )
     mapped = F.col(MAPPED)
     return (
         owned.select(
@@ -100,12 +110,13 @@ def _offers(parts: _Parts, min_bytes) -> DataFrame:
     )
 
 
-def _left_outcome(parts: _Parts, min_bytes) -> DataFrame:
+def _left_outcome(parts: _Parts) -> DataFrame:
     """Each left row with its offer, if any: one shuffle of the left side."""
     asking = parts.left.withColumn(
         OWNER, F.when(F.col(MAPPED), F.col(OWNER)).otherwise(F.lit(""))
     )
-    return lookup(asking, _offers(parts, min_bytes), [*parts.keys, MAPPED, OWNER], "left", min_bytes)
+    on = [*parts.keys, MAPPED, OWNER]
+    return lookup(asking, _offers(parts), on, "left", parts.large_left)
 
 
 def answered_left(parts: _Parts, outcome: DataFrame) -> DataFrame:
@@ -141,11 +152,13 @@ def fallback_pairs(parts: _Parts, diff_pairs) -> DataFrame:
     )
 
 
-def uncovered_right(parts: _Parts, min_bytes) -> DataFrame:
+def uncovered_right(parts: _Parts) -> DataFrame:
     """Right rows nothing on the left asks for: one anti join against the distinct wants."""
     keys = [named(k) for k in parts.keys]
     usable = parts.left.where(F.col(SPREAD) == 0).select(ROW_ID, *keys, MAPPED, OWNER)
-    asked = flag_members(usable, parts.mapping, [OWNER], "_asked", min_bytes)
+    asked = flag_members(
+        usable, parts.mapping, [OWNER], "_asked", parts.small_mapping, parts.large_left
+    )
     wants = asked.select(
         *keys,
         MAPPED,
@@ -155,7 +168,8 @@ def uncovered_right(parts: _Parts, min_bytes) -> DataFrame:
         F.when(F.col(MAPPED), F.col(c)).otherwise(F.lit("")).alias(c) for c in parts.cells
     ]
     rows = parts.right.select(ROW_ID, *keys, MAPPED, *cells, RIGHT)
-    left_over = lookup(rows, wants, [*parts.keys, MAPPED, *parts.cells], "left_anti", min_bytes)
+    on = [*parts.keys, MAPPED, *parts.cells]
+    left_over = lookup(rows, wants, on, "left_anti", parts.large_right)
     return left_over.select(
         ROW_ID,
         F.lit(MISSING_LEFT).alias("status"),
@@ -172,7 +186,7 @@ def unmapped_values(left: DataFrame, spec: CompareSpec, rule: ExpansionRule,
     view = align(left, spec, LEFT, list(rules), [rule.left_col])
     column = next(v for v in view.values if v.lower() == f"{LEFT}_{rule.left_col}".lower())
     known = mapping.select(
-        normalise_mapping_value(F.col("left_val"), spec.options).alias("value")
+        normalise_mapping_value("left_val", spec.options).alias("value")
     ).distinct()
     found = view.frame.select(named(column).alias("value")).distinct()
     return found.join(broadcast_if_small(known), "value", "left_anti")
@@ -208,11 +222,11 @@ def compare_expanded(
         for p in spec.compare_columns
         if p.left_col.lower() not in by_rule[0] and p.right_col.lower() not in by_rule[1]
     )
-    outcome = _left_outcome(parts, min_bytes)
+    outcome = _left_outcome(parts)
     frame = (
         answered_left(parts, outcome)
         .union(fallback_pairs(parts, diff_pairs))
-        .union(uncovered_right(parts, min_bytes))
+        .union(uncovered_right(parts))
     )
     a, b = parts.left_view, parts.right_view
     return Comparison(frame, a.keys, a.values, b.values, diff_pairs)

@@ -41,7 +41,7 @@ def expected_rows(
     targets = mapping.select("left_val", *cells)
     if normalise_mapping:
         targets = targets.select(
-            *[normalise_mapping_value(F.col(c), spec.options).alias(c) for c in targets.columns]
+            *[normalise_mapping_value(c, spec.options).alias(c) for c in targets.columns]
         )
     owner = next(v for v in view.values if v.lower() == f"{LEFT}_{rule.left_col}".lower())
     plain = [

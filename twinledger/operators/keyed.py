@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from twinledger.operators.align import ROW_ID, SPREAD, View, align, named
 from twinledger.operators.comparison import Comparison, absent, pair_status
-from twinledger.operators.skew import HEAVY, flag_heavy, heavy_keys, lookup
+from twinledger.operators.skew import HEAVY, flag_heavy, heavy_keys, is_large, lookup
 from twinledger.plans.spec import (
     BOTH,
     DUPLICATE_KEY,
@@ -98,7 +98,8 @@ def _compare_window(
     keys = left.join_keys
     stack = _stack(left, right)
     from_left = F.col(LEFT).isNotNull()
-    heavy = heavy_keys(stack.where(F.col(SPREAD) == 0), keys, min_bytes)
+    usable_keys = stack.where(F.col(SPREAD) == 0)
+    heavy = heavy_keys(usable_keys, keys) if is_large(usable_keys, keys, min_bytes) else None
     if heavy is not None:
         # three sampled rows of one key prove it ambiguous, so its rows need no company
         own = F.col(ROW_ID) * 2 + F.when(from_left, 1).otherwise(2)
@@ -149,6 +150,11 @@ def _one_sided(view: View, other: View, rows: DataFrame, status: str) -> DataFra
     )
 
 
+def _matched(view: View, dim: DataFrame, how: str, min_bytes: int | None) -> DataFrame:
+    keys = view.join_keys
+    return lookup(view.packed(), dim, keys, how, is_large(view.frame, keys, min_bytes))
+
+
 def duplicate_rows(left: View, right: View, min_bytes: int | None = None) -> DataFrame:
     """Every row of both sides whose key is ambiguous."""
     repeated = key_counts(left, right).where(_repeated()).drop("n_left", "n_right")
@@ -156,7 +162,7 @@ def duplicate_rows(left: View, right: View, min_bytes: int | None = None) -> Dat
         _one_sided(
             view,
             other,
-            lookup(view.packed(), repeated, view.join_keys, "left_semi", min_bytes),
+            _matched(view, repeated, "left_semi", min_bytes),
             DUPLICATE_KEY,
         )
         for view, other in ((left, right), (right, left))
@@ -168,14 +174,14 @@ def missing_right_rows(left: View, right: View, min_bytes: int | None = None) ->
     """Left rows without a right key; one anti join also drops the ambiguous left keys."""
     blocked = key_counts(left, right).where("n_right > 0 OR n_left > 1")
     dim = blocked.drop("n_left", "n_right")
-    rows = lookup(left.packed(), dim, left.join_keys, "left_anti", min_bytes)
+    rows = _matched(left, dim, "left_anti", min_bytes)
     return _one_sided(left, right, rows, MISSING_RIGHT)
 
 
 def missing_left_rows(left: View, right: View, min_bytes: int | None = None) -> DataFrame:
     blocked = key_counts(left, right).where("n_left > 0 OR n_right > 1")
     dim = blocked.drop("n_left", "n_right")
-    rows = lookup(right.packed(), dim, right.join_keys, "left_anti", min_bytes)
+    rows = _matched(right, dim, "left_anti", min_bytes)
     return _one_sided(right, left, rows, MISSING_LEFT)
 
 
@@ -185,8 +191,8 @@ def paired_rows(
     """Left and right rows sharing a key that is unique on both sides."""
     unique = key_counts(left, right).where("n_left = 1 AND n_right = 1")
     unique = unique.drop("n_left", "n_right")
-    kept = lookup(left.packed(), unique, left.join_keys, "left_semi", min_bytes)
-    partners = lookup(right.packed(), unique, right.join_keys, "left_semi", min_bytes)
+    kept = _matched(left, unique, "left_semi", min_bytes)
+    partners = _matched(right, unique, "left_semi", min_bytes)
     joined = kept.join(partners.drop(ROW_ID), left.join_keys)
     return joined.select(
         ROW_ID,

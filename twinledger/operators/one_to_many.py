@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from twinledger.operators.align import ROW_ID, named
 from twinledger.operators.comparison import Comparison, absent, pair_status
 from twinledger.operators.keyed import keyed_views
-from twinledger.operators.skew import lookup
+from twinledger.operators.skew import is_large, lookup
 from twinledger.plans.spec import (
     BOTH,
     DUPLICATE_KEY,
@@ -45,7 +45,8 @@ def compare_one_to_many(
             F.min_by(LEFT, ROW_ID).alias(LEFT),
         )
     )
-    right_rows = lookup(packed_right, left_by_key, keys, "left", min_bytes)
+    large = is_large(b.frame, keys, min_bytes)
+    right_rows = lookup(packed_right, left_by_key, keys, "left", large)
     single = F.col("n_left") == 1
     from_right = right_rows.select(
         ROW_ID,
@@ -61,7 +62,8 @@ def compare_one_to_many(
     counts = left_by_key.select(*map(named, keys), "n_left")
     right_keys = b.keyed.select(*map(named, keys)).distinct()
     state = counts.join(right_keys.withColumn("_met", F.lit(True)), keys, "left")
-    left_rows = lookup(packed_left, state, keys, "left", min_bytes)
+    large = is_large(a.frame, keys, min_bytes)
+    left_rows = lookup(packed_left, state, keys, "left", large)
     from_left = left_rows.where("n_left IS NULL OR n_left > 1 OR _met IS NULL").select(
         ROW_ID,
         F.when(F.col("n_left") > 1, F.lit(DUPLICATE_KEY)).otherwise(F.lit(MISSING_RIGHT))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinledger.functions.numbers import fixed_point
+from twinledger.functions.text import bind
 from twinledger.operators.align import ROW_ID, View, named
 from twinledger.operators.comparison import Comparison, side_value
 from twinledger.operators.rownum import number_by
@@ -36,15 +37,24 @@ def status_label(status: Column) -> Column:
     return F.coalesce(labels[status], status)
 
 
-def percent(part: Column, total: Column) -> Column:
+def one_place(value: str) -> str:
+    """``%.1f`` of a numeric SQL expression, NULL staying NULL."""
+    return bind(f"CAST({value} AS DOUBLE)", "op", fixed_point("op", 1))
+
+
+def _share(part: str, total: str) -> str:
+    return one_place(f"try_divide(CAST({part} AS DOUBLE), {total}) * 100")
+
+
+def percent(part: str, total: str) -> Column:
     """Share in percent, rounded to one place as the exact binary value; 0 for no rows."""
-    share = F.try_divide(part.cast("double"), total) * 100
-    return F.when(total > 0, fixed_point(share, 1).cast("double")).otherwise(F.lit(0.0))
+    return F.expr(
+        f"CASE WHEN {total} > 0 THEN CAST({_share(part, total)} AS DOUBLE) ELSE 0.0D END"
+    )
 
 
-def percent_text(part: Column, total: Column) -> Column:
-    share = F.try_divide(part.cast("double"), total) * 100
-    return F.when(total > 0, F.concat(fixed_point(share, 1), F.lit("%"))).otherwise(F.lit("0%"))
+def percent_text(part: str, total: str) -> Column:
+    return F.expr(f"CASE WHEN {total} > 0 THEN concat({_share(part, total)}, '%') ELSE '0%' END")
 
 
 def summary_counts(frame: DataFrame) -> DataFrame:
@@ -57,13 +67,13 @@ def summary_counts(frame: DataFrame) -> DataFrame:
 
 def summary_percentages(summary: DataFrame) -> DataFrame:
     """Match, mismatch and missing percentages, and the rows that could be validated."""
-    total = F.col("total_rows")
+    total = "total_rows"
     return summary.select(
-        "total_rows",
-        (total - F.col(DUPLICATE_KEY)).alias("validated_rows"),
-        percent(F.col(MATCH), total).alias("match_pct"),
-        percent(F.col(MISMATCH), total).alias("mismatch_pct"),
-        percent(F.col(MISSING_LEFT) + F.col(MISSING_RIGHT), total).alias("missing_pct"),
+        total,
+        (F.col(total) - F.col(DUPLICATE_KEY)).alias("validated_rows"),
+        percent(MATCH, total).alias("match_pct"),
+        percent(MISMATCH, total).alias("mismatch_pct"),
+        percent(f"({MISSING_LEFT} + {MISSING_RIGHT})", total).alias("missing_pct"),
     )
 
 
@@ -79,7 +89,7 @@ def summary_report(summary: DataFrame) -> DataFrame:
         for i, s in enumerate(STATUSES)
     ])
     return summary.select("total_rows", F.explode(rows).alias("r")).select(
-        "r.*", percent_text(F.col("r.row_count"), F.col("total_rows")).alias("pct"), "total_rows"
+        "r.*", percent_text("r.row_count", "total_rows").alias("pct"), "total_rows"
     )
 
 
@@ -124,7 +134,7 @@ def _top(counts: DataFrame, top: int) -> DataFrame:
     shown = counts.where("mismatches > 0").orderBy(F.desc("mismatches"), "column_name").limit(top)
     return shown.select(
         "column_name", "mismatches",
-        percent_text(F.col("mismatches"), F.col("_total")).alias("share"),
+        percent_text("mismatches", "_total").alias("share"),
     )
 
 

@@ -84,7 +84,9 @@ def number_by(
 
     Up to ``single_task_bytes`` one sorted task does it. Beyond, rows are range partitioned by
     (order, read position) — unique, so a value shared by many rows still splits — sorted and
-    written once; the per-partition counts then turn positions into global numbers.
+    written once; the per-partition counts then turn positions into global numbers. The size
+    of a file scan is known and sets the number of ranges; for other plans the estimate may be
+    far too high, so the session's partition count stands and AQE joins small ranges.
     """
     columns = [named(c) for c in df.columns]
     order = [named(c) for c in order_by]
@@ -92,14 +94,15 @@ def number_by(
     if size <= single_task_bytes:
         window = Window.orderBy(*order)
         return df.select(*columns, F.row_number().over(window).cast("bigint").alias(name))
-    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    partitions = min(20_000, max(configured, size // TARGET_PARTITION_BYTES))
     by = [*order, F.col("_read")]
-    ranged = (
-        df.withColumn("_read", F.monotonically_increasing_id())
-        .repartitionByRange(partitions, *by)
-        .sortWithinPartitions(*by)
-    )
+    read = df.withColumn("_read", F.monotonically_increasing_id())
+    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = min(20_000, size // TARGET_PARTITION_BYTES)
+    if wanted > configured and _from_files(df):
+        ranged = read.repartitionByRange(wanted, *by)
+    else:
+        ranged = read.repartitionByRange(*by)
+    ranged = ranged.sortWithinPartitions(*by)
     written = materialise(
         ranged.select(*columns, F.monotonically_increasing_id().alias("_scan")),
         "row-number-sorted",

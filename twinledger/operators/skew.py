@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinledger.operators.align import ROW_ID, named
-from twinledger.session import broadcast_if_small, estimated_bytes, materialise
+from twinledger.session import estimated_bytes, materialise
 
 MIN_BYTES = 1 << 30
 SAMPLE_BYTES = 64 << 20
@@ -22,20 +22,16 @@ SALT = "_salt"
 
 
 def is_large(frame: DataFrame, on: list[str], min_bytes: int | None = None) -> bool:
+    """Whether the keys of a side are big enough for one of them to overload a task."""
     limit = MIN_BYTES if min_bytes is None else min_bytes
     return estimated_bytes(frame.select(*map(named, on))) >= limit
 
 
-def heavy_keys(
-    frame: DataFrame, on: list[str], min_bytes: int | None = None
-) -> DataFrame | None:
+def heavy_keys(frame: DataFrame, on: list[str]) -> DataFrame | None:
     """Keys seen at least three times in a bounded sample, heaviest first, at most 10,000.
 
-    Inputs below ``min_bytes`` cannot overload a task and are not sampled. Sampling is
-    without replacement, so every listed key really occurs at least three times.
+    Sampling is without replacement, so every listed key really occurs at least three times.
     """
-    if not is_large(frame, on, min_bytes):
-        return None
     keys = frame.select(*map(named, on))
     fraction = min(1.0, SAMPLE_BYTES / max(estimated_bytes(keys), 1))
     counted = (
@@ -61,21 +57,17 @@ def flag_heavy(frame: DataFrame, heavy: DataFrame | None, on: list[str]) -> Data
 
 
 def lookup(
-    big: DataFrame,
-    dim: DataFrame,
-    on: list[str],
-    how: str,
-    min_bytes: int | None = None,
+    big: DataFrame, dim: DataFrame, on: list[str], how: str, large: bool
 ) -> DataFrame:
-    """Join ``big`` to ``dim``, which has few rows per ``on``, whatever the skew of ``big``.
+    """Join ``big`` to ``dim``, which has few rows per ``on``, whatever the skew of a ``large`` side.
 
     Rows of a heavy key are spread over salts by their row id and the key's ``dim`` rows are
     copied to each salt, so each row still meets each partner once. Rows with a NULL in
     ``on`` meet none and are spread as well.
     """
-    if not is_large(big, on, min_bytes):
+    if not large:
         return big.join(dim, on, how)
-    heavy = heavy_keys(big, on, min_bytes)
+    heavy = heavy_keys(big, on)
     salts = min(MAX_SALTS, int(big.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     unmatched = F.lit(False)
     for column in on:
@@ -93,16 +85,16 @@ def lookup(
 
 
 def flag_members(
-    big: DataFrame, members: DataFrame, on: list[str], flag: str, min_bytes: int | None = None
+    big: DataFrame, members: DataFrame, on: list[str], flag: str, small: bool, large: bool
 ) -> DataFrame:
     """Left join ``members`` and tell for each row whether it met one.
 
-    A members table of checked size is broadcast; a larger one takes the skew-safe lookup.
+    ``small`` members, whose size the caller has checked, are broadcast; others take the
+    skew-safe lookup.
     """
     marked = members.withColumn(flag, F.lit(True))
-    hinted = broadcast_if_small(marked)
-    if hinted is marked:
-        joined = lookup(big, marked, on, "left", min_bytes)
+    if small:
+        joined = big.join(F.broadcast(marked), on, "left")
     else:
-        joined = big.join(hinted, on, "left")
+        joined = lookup(big, marked, on, "left", large)
     return joined.withColumn(flag, F.coalesce(flag, F.lit(False)))

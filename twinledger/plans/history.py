@@ -10,8 +10,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinledger.functions.numbers import fixed_point
-from twinledger.operators.report import percent, percent_text
+from twinledger.operators.report import one_place, percent, percent_text
 from twinledger.plans.spec import MISMATCH, MATCH, MISSING_LEFT, MISSING_RIGHT, CompareSpec
 
 RUN_SCHEMA = (
@@ -83,18 +82,18 @@ def with_figures(runs: DataFrame) -> DataFrame:
     """Totals, percentages and duration of each run; zeros where there is no summary."""
     parsed = runs.withColumn("_s", F.from_json("result_summary", _SUMMARY))
 
-    def figure(name: str) -> Column:
-        return F.coalesce(F.col(f"_s.{name}"), F.lit(0).cast("bigint"))
+    def figure(name: str) -> str:
+        return f"coalesce(_s.{name}, 0L)"
 
     total = figure("total_rows")
     return parsed.select(
         "id",
         F.concat(F.lit("JOB-"), F.upper(F.substring("id", 1, 8))).alias("job_number"),
         "name", "job_type", "status", "created_at", "updated_at",
-        total.alias("total_rows"),
+        F.expr(total).alias("total_rows"),
         percent(figure(MATCH), total).alias("match_pct"),
         percent(figure(MISMATCH), total).alias("mismatch_pct"),
-        percent(figure(MISSING_LEFT) + figure(MISSING_RIGHT), total).alias("missing_pct"),
+        percent(f"({figure(MISSING_LEFT)} + {figure(MISSING_RIGHT)})", total).alias("missing_pct"),
         duration_text(F.col("created_at"), F.col("updated_at")).alias("duration"),
         F.col("result_summary").isNotNull().alias("has_summary"),
     )
@@ -145,11 +144,11 @@ def run_kpis(runs: DataFrame) -> DataFrame:
     return joined.select(
         "runs",
         "completed",
-        percent_text(F.col("completed"), F.col("runs")).alias("success_rate"),
+        percent_text("completed", "runs").alias("success_rate"),
         "recent_rows",
-        F.when(total >= 1_000_000, F.concat(fixed_point(total / 1e6, 1), F.lit("M")))
-        .when(total >= 1_000, F.concat(fixed_point(total / 1e3, 1), F.lit("K")))
+        F.when(total >= 1_000_000, F.expr(f"concat({one_place('recent_rows / 1e6D')}, 'M')"))
+        .when(total >= 1_000, F.expr(f"concat({one_place('recent_rows / 1e3D')}, 'K')"))
         .otherwise(total.cast("string"))
         .alias("recent_rows_text"),
-        F.concat(fixed_point(F.col("mean"), 1), F.lit("%")).alias("mean_mismatch"),
+        F.expr(f"concat({one_place('mean')}, '%')").alias("mean_mismatch"),
     )

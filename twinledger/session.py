@@ -17,9 +17,13 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(stats.sizeInBytes()))
 
 
+def fits_broadcast(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> bool:
+    return estimated_bytes(df) <= limit
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
     """Hint a broadcast only below ``limit``; above it the join stays a shuffle join."""
-    return F.broadcast(df) if estimated_bytes(df) <= limit else df
+    return F.broadcast(df) if fits_broadcast(df, limit) else df
 
 
 def scratch_root(spark: SparkSession) -> str:

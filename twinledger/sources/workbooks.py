@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinledger.functions.normalise import as_text
-from twinledger.operators.align import named
+from twinledger.functions.text import quoted
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -200,7 +200,7 @@ def write_workbooks(
     header = list(df.columns)
     limit = min(sheet_rows, MAX_SHEET_ROWS)
     text = df.select(*[
-        as_text(named(f.name), f.dataType).alias(f"c{i}") for i, f in enumerate(df.schema.fields)
+        F.expr(as_text(quoted(f.name), f.dataType)).alias(f"c{i}") for i, f in enumerate(df.schema.fields)
     ])
     numbered = text.withColumn("_task", F.spark_partition_id())
 

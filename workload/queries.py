@@ -294,7 +294,7 @@ def q_norm_text(spark, d):
     documents = fx.table(spark, d, "documents")
     options = CompareOptions(ignore_case=True)
     return documents.select(
-        "doc_id", *[normalise(F.col(c), options).alias(c) for c in ("text", "lang", "source")]
+        "doc_id", *[normalise(c, options).alias(c) for c in ("text", "lang", "source")]
     )
 
 
@@ -302,7 +302,7 @@ def q_norm_text(spark, d):
 def q_norm_all(spark, d):
     lines = fx.table(spark, d, "lineitem")
     return lines.select(*[
-        normalise(F.col(f.name), FULL_OPTIONS, (), f.dataType).alias(f.name)
+        normalise(f.name, FULL_OPTIONS, (), f.dataType).alias(f.name)
         for f in lines.schema.fields
     ])
 
@@ -311,14 +311,14 @@ def q_norm_all(spark, d):
 def q_norm_date(spark, d):
     texts = fx.frame(spark, d, fx.DATE_TEXTS)
     options = CompareOptions(normalize_date=True, date_format="%d.%m.%Y (%b, %j)")
-    return texts.select("o_orderkey", normalise(F.col("s"), options).alias("s"))
+    return texts.select("o_orderkey", normalise("s", options).alias("s"))
 
 
 @query("norm_number")
 def q_norm_number(spark, d):
     texts = fx.frame(spark, d, fx.NUMBER_TEXTS)
     options = CompareOptions(normalize_number=True)
-    return texts.select("o_orderkey", normalise(F.col("s"), options).alias("s"))
+    return texts.select("o_orderkey", normalise("s", options).alias("s"))
 
 
 TRANSFORM_CASES = {
@@ -336,7 +336,7 @@ def _transform_query(kind: str, params: dict) -> Query:
     def run(spark, d):
         orders = fx.frame(spark, d, fx.ORDERS_RIGHT)
         rule = TransformRule("priority", "both", kind, params)
-        value = normalise(F.col("priority"), CompareOptions(), [rule])
+        value = normalise("priority", CompareOptions(), [rule])
         return orders.select("pos", value.alias("s"))
 
     return run
