@@ -44,6 +44,9 @@ SPACE_SEPARATORS = (
     " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u202f\u205f\u3000"
 )
+# Words the date parser knows; an endless date has the same text in any format.
+_EPOCH = literal(r"(?i)^\s*-?epoch\s*$")
+_ENDLESS = literal(r"(?i)^-?inf(?:inity)?$")
 _NEVER_SPACED = (NumericType, BooleanType, DateType, TimestampType, TimestampNTZType)
 
 
@@ -124,9 +127,12 @@ def normalise_date(text: str, pattern: str) -> str:
     """Dates as formatted text, anything else unchanged; ISO dates take the short way."""
     common = format_common_date(f"try_cast(substring({text}, 1, 10) AS DATE)", pattern)
     loose = bind(parse_date("nd"), "nf", format_date("nf", pattern))
+    epoch = format_common_date("DATE'1970-01-01'", pattern)
     return (
         f"CASE WHEN {iso_date(text)} THEN coalesce({common}, {text}) "
         f"WHEN {maybe_date(text)} THEN {bind(text, 'nd', f'coalesce({loose}, nd)')} "
+        f"WHEN {text} RLIKE {_EPOCH} THEN {epoch} "
+        f"WHEN {text} RLIKE {_ENDLESS} THEN regexp_replace(lower({text}), 'inf.*', 'infinity') "
         f"ELSE {text} END"
     )
 
