@@ -201,7 +201,7 @@ def _narrow(
         width = max(1, -(-(high - low + 1) // buckets))
         inside = rows.where(F.col(ROW_ID).between(low, high))
         counts = (
-            inside.groupBy(F.floor((F.col(ROW_ID) - low) / width).alias("b"))
+            inside.groupBy(F.expr(f"({ROW_ID} - ({low}L)) div {width}L").alias("b"))
             .agg(F.count(F.lit(1)).alias("n"))
             .orderBy("b")
             .collect()
@@ -217,12 +217,13 @@ def _narrow(
             passed += n
         if first is None:
             return inside.where(F.lit(False)), 0
-        low, high = low + first * width, min(high, low + (last + 1) * width - 1)
+        narrowed = low + first * width, min(high, low + (last + 1) * width - 1)
+        settled = width == 1 or narrowed == (low, high)
+        low, high = narrowed
         skip -= before
-        inside = rows.where(F.col(ROW_ID).between(low, high))
         held = sum(n for b, n in counts if first <= b <= last)
-        if held <= enough or width == 1:
-            return inside, skip
+        if held <= max(enough, 2 * size) or settled:
+            return rows.where(F.col(ROW_ID).between(low, high)), skip
 
 
 def _entries(json_text: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from twinledger.operators.align import named
 from twinledger.plans.spec import SourceSpec
+from twinledger.session import broadcast_if_small
 from twinledger.sources.jdbc import read_jdbc
 from twinledger.sources.workbooks import read_workbooks
 
@@ -83,7 +84,7 @@ def read_csv(spark: SparkSession, source: SourceSpec) -> DataFrame:
         .option("inferSchema", False)
     )
     if source.skip_rows:
-        df = _skip_leading(reader, source)
+        df = _skip_leading(spark, reader, source)
     else:
         df = reader.option("header", source.has_header).csv(source.file_path)
         if not source.has_header:
@@ -91,26 +92,30 @@ def read_csv(spark: SparkSession, source: SourceSpec) -> DataFrame:
     return null_tokens(df, source.null_tokens)
 
 
-def _skip_leading(reader, source: SourceSpec) -> DataFrame:
-    """Drop the first rows of every file (and its header) by position within the first split."""
-    raw = reader.option("header", False).csv(source.file_path)
-    names = raw.columns
-    placed = raw.select(
+def _skip_leading(spark: SparkSession, reader, source: SourceSpec) -> DataFrame:
+    """Drop the first rows of every file (and its header) by position within the first split.
+
+    The first row that is kept, a header or not, is looked at once for the column count.
+    """
+    encoding = encoding_name(source.csv_encoding)
+    head = spark.read.option("encoding", encoding).text(source.file_path)
+    lines = [row.value for row in head.limit(source.skip_rows + 1).collect()]
+    fields = next(csv.reader(lines[source.skip_rows :], delimiter=source.csv_separator), ["_dummy"])
+    titles = fields if source.has_header else [f"col_{i}" for i in range(len(fields))]
+    lead = sum(1 for line in lines[: source.skip_rows] if line.strip())
+    lead += 1 if source.has_header else 0
+    names = [f"_c{i}" for i in range(len(fields))]
+    schema = ", ".join(f"{n} string" for n in names)
+    placed = reader.option("header", False).schema(schema).csv(source.file_path).select(
         *names,
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_at"),
     )
     starts = placed.where("_block = 0").groupBy("_file").agg(F.min("_at").alias("_start"))
-    lead = source.skip_rows + (1 if source.has_header else 0)
     in_lead = (F.col("_block") == 0) & (F.col("_at") - F.col("_start") < lead)
-    joined = placed.join(F.broadcast(starts), "_file")
-    if not source.has_header:
-        return joined.where(~in_lead).select(*names).toDF(*[f"col_{i}" for i in range(len(names))])
-    header_row = in_lead & (F.col("_at") - F.col("_start") == source.skip_rows)
-    header = joined.where(header_row).orderBy("_file").select(*names).first()
-    titles = [h if h is not None else f"Unnamed: {i}" for i, h in enumerate(header or names)]
-    return joined.where(~in_lead).select(*names).toDF(*titles)
+    kept = placed.join(broadcast_if_small(starts), "_file").where(~in_lead)
+    return kept.select(*names).toDF(*titles)
 
 
 def null_tokens(df: DataFrame, tokens: tuple[str, ...]) -> DataFrame:
