@@ -16,7 +16,7 @@ DATES = [
     "2024-01-05 10:11", "2024-01-05 10:11:12.5", "2024-01-05T10:11:12Z", "2024-01-05 10:11:12+07",
     " 2024-01-05 ", "2024-01-05 x", "2024-01-05 25:00", "2024-01-05 10", "2024-1-5 1:2:3",
     "2024-01/05", "2024-001-05", "-2024-01-05", "0000-01-01", "2024-13-01", "2023-02-29",
-    "2024-01-05T", "2024-01-05 10:11:", "2024-01-05 10:11:12 UTC", "+2024-01-05", "\t2024-01-05",
+    "2024-01-05T", "2024-01-05 10:11:", "2024-01-05 10:11:12 UTC", "2024-01-05 10:11:12z", "2024-01-05 10:11:12 utc", "2024-01-05 10:11:12utc", "+2024-01-05", "\t2024-01-05",
     "14/01/2021", "20240105", "2024", "12345", "2024-02-30", "2024-01", "2024-01-05abc",
     " 024-01-05", "epoch", " EPOCH", "infinity", "-INF", "2024-01-05 24:00:00", "1582-10-10", "", None, "abc",
 ]

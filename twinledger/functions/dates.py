@@ -8,7 +8,7 @@ from twinledger.functions.text import bind, literal
 
 _TIME = (
     r"(?:T|[ ]+)(?:(?:[01]?\d|2[0-3]):[0-5]?\d(?::(?:[0-5]?\d(?:\.\d*)?)?)?|24:00(?::00)?)"
-    r"(?:[ ]*(?:Z|UTC|[+-]\d{1,2}(?::?\d{2})?))?"
+    r"(?:Z|[ ]*[+-]\d{1,2}(?::?\d{2})?|[ ]+(?i:UTC|Z))?"
 )
 _DATE = literal(rf"^\s*(-?\d+)([-/ \\])(\d{{1,2}})\2(\d{{1,2}})(?:{_TIME})?\s*$")
 _MAYBE_DATE = literal(r"^\s*-?\d+[-/ \\]\d")
