@@ -10,7 +10,7 @@ from twinledger.sources.workbooks import read_workbooks
 
 # First header cells that mark a header row.
 HEADER_MARKS = ("left_value", "left_val", "kiri", "nilai_kiri")
-MAX_COLUMNS = 256
+MIN_COLUMNS = 32
 
 
 def _strip(cell: Column) -> Column:
@@ -31,7 +31,10 @@ def read_mapping(
     or without any right value are dropped, and rows are padded or cut to the columns: those
     of the header, else ``right_cols``, else ``col_i`` for the widest row.
     """
-    schema = ", ".join(f"c{i} string" for i in range(MAX_COLUMNS))
+    separated = F.size(F.split("value", "\\Q" + separator + "\\E"))
+    lines = spark.read.option("encoding", encoding_name(encoding)).text(path)
+    widest = lines.agg(F.max(separated)).first()[0] or 1
+    schema = ", ".join(f"c{i} string" for i in range(max(MIN_COLUMNS, widest)))
     cells = (
         spark.read.schema(schema)
         .option("sep", separator)

@@ -32,7 +32,7 @@ def export_results(
 ) -> None:
     """CSV in row order with a header per file; ``sheet_rows`` caps the rows of each file."""
     ordered = filter_results(results, status).select(*RESULT_COLUMNS).orderBy(*RESULT_ORDER)
-    _write_csv(ordered, path, sheet_rows)
+    write_csv(ordered, path, sheet_rows)
 
 
 def export_expected(
@@ -44,10 +44,11 @@ def export_expected(
     marked = [
         named(c).alias(BYTE_ORDER_MARK + c if i == 0 else c) for i, c in enumerate(columns)
     ]
-    _write_csv(rows.select(*marked), path, sheet_rows)
+    write_csv(rows.select(*marked), path, sheet_rows)
 
 
-def _write_csv(rows: DataFrame, path: str, sheet_rows: int | None) -> None:
+def write_csv(rows: DataFrame, path: str, sheet_rows: int | None = None) -> None:
+    """CSV with a header per file, doubled quotes and every space kept."""
     writer = rows.write.mode("overwrite").option("header", True).option("escape", '"')
     writer = writer.option("emptyValue", "").option("ignoreLeadingWhiteSpace", False)
     writer = writer.option("ignoreTrailingWhiteSpace", False)

@@ -522,7 +522,7 @@ FROM customer"""
 def _mapping_file(spark, d) -> tuple[list[str], DataFrame]:
     path = scratch_path(spark, "mapping")
     lines = fx.frame(spark, d, MAPPING_LINES).toDF("left_value", " seg", "sub ")
-    sinks._write_csv(lines, path, None)
+    sinks.write_csv(lines, path)
     return mapping.read_mapping(spark, path)
 
 
@@ -558,7 +558,7 @@ def q_run_compare(spark, d):
     paths = [scratch_path(spark, "run-left"), scratch_path(spark, "run-right")]
     left, right = _orders(spark, d)
     text = [F.col(c).cast("string").alias(c) for c in left.columns]
-    sinks._write_csv(left.select(*text), paths[0], None)
+    sinks.write_csv(left.select(*text), paths[0])
     right.write.parquet(paths[1])
     spec = CompareSpec.from_dict(
         ORDERS.to_dict()
