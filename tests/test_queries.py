@@ -3,8 +3,10 @@ import os
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from check import TABLES, rows_by_name
+from workload.oracles import ORACLES
+from workload.queries import REGISTRY
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -18,10 +20,10 @@ def db():
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(REGISTRY))
 def test_query_equals_its_sql(spark, db, name):
-    df = queries()[name](spark, SMALL)
-    cursor = db.execute(oracle_sql()[name])
+    df = REGISTRY[name](spark, SMALL)
+    cursor = db.execute(ORACLES[name])
     want = rows_by_name([c[0] for c in cursor.description], cursor.fetchall())
     assert rows_by_name(df.columns, df.collect()) == want
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,9 +28,15 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> Dat
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a fresh temporary folder only where none is set."""
+    """The shared folder the cluster names; a fresh temporary folder only in local mode.
+
+    On any other master an unset folder is an error: executors would write to disks of their own.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        master = spark.conf.get("spark.master", "")
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder on master {master}")
         configured = tempfile.mkdtemp(prefix="twinledger-")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured.rstrip("/")
