@@ -60,14 +60,14 @@ class Query:
     """The windows of a block of items: what to look up first, and what must stand where."""
 
     terms: dict[bytes, int]
-    need: dict[int, int]
+    company: dict[int, set[tuple[int, ...]]]
     by_anchor: dict[int, list[tuple]]
 
 
 def plan(items: list[tuple[int, list[bytes]]], counts: dict[bytes, int], spec: Contamination) -> Query:
     """Windows by their rarest term; those with a term that no document has cannot occur."""
     terms = {w: i for i, w in enumerate(sorted({w for _, ws in items for w in ws}))}
-    need: dict[int, int] = {}
+    company: dict[int, set[tuple[int, ...]]] = defaultdict(set)
     by_anchor = defaultdict(list)
     for number, words in items:
         width = min(spec.words, len(words))
@@ -75,12 +75,10 @@ def plan(items: list[tuple[int, list[bytes]]], counts: dict[bytes, int], spec: C
             order = sorted(range(start, start + width), key=lambda i: (counts.get(words[i], 0), words[i], i))
             if not counts.get(words[order[0]]):
                 continue
-            rare = [(terms[words[i]], i) for i in order[: spec.rare]]
-            for term, _ in rare:
-                need[term] = min(need.get(term, spec.rare), len(rare))
-            rest = [(terms[words[i]], i - start) for i in order[1:]]
-            by_anchor[rare[0][0]].append((number, width, order[0] - start, rest))
-    return Query(terms, need, dict(by_anchor))
+            anchor, *rest = [(terms[words[i]], i - start) for i in order]
+            company[anchor[0]].add(tuple(term for term, _ in rest[: spec.rare - 1]))
+            by_anchor[anchor[0]].append((number, width, anchor[1], rest))
+    return Query(terms, dict(company), dict(by_anchor))
 
 
 _STORED = pa.schema([
@@ -89,13 +87,33 @@ _STORED = pa.schema([
 ])
 
 
+def _within(places: list[int], place: int, near: int) -> bool:
+    at = bisect.bisect_right(places, place - near)
+    return at < len(places) and places[at] < place + near
+
+
 def _post(query: Query, spec: Contamination):
-    """Postings of a text: terms of the test no further than a match reaches from enough rare ones.
+    """Postings of a text: terms of the test round places where a window's rare terms meet.
 
-    A window's rare terms all stand within its reach, so a place with fewer of them around is in none.
+    Wherever a window occurs, its rarest term stands with the next rarest ones near it; terms farther
+    from all such places than a match reaches are in none and aren't stored.
     """
     reach = max(spec.words, spec.near) - 1
-    rare = {word: i for word, i in query.terms.items() if i in query.need}
+    asked = set(query.company) | {t for sets in query.company.values() for others in sets for t in others}
+    rare = {word: i for word, i in query.terms.items() if i in asked}
+
+    def meeting(words):
+        places = defaultdict(list)
+        for at, word in enumerate(words):
+            if word in rare:
+                places[rare[word]].append(at)
+        found = set()
+        for term in places.keys() & query.company.keys():
+            for others in query.company[term]:
+                lists = [places[t] for t in others if t in places]
+                if len(lists) == len(others):
+                    found.update(p for p in places[term] if all(_within(x, p, reach + 1) for x in lists))
+        return sorted(found)
 
     def run(batches):
         for batch in batches:
@@ -103,14 +121,11 @@ def _post(query: Query, spec: Contamination):
             for text in batch.column(2):
                 words = words_of(text.as_py())
                 sizes.append(len(words))
-                at = [i for i, w in enumerate(words) if w in rare]
                 kept, last = [], 0
-                for place in at:
-                    around = bisect.bisect_right(at, place + reach) - bisect.bisect_left(at, place - reach)
-                    if around >= query.need[rare[words[place]]]:
-                        begin = max(last, place - reach)
-                        last = max(begin, min(len(words), place + reach + 1))
-                        kept.extend(i for i in range(begin, last) if words[i] in query.terms)
+                for place in meeting(words):
+                    begin = max(last, place - reach)
+                    last = max(begin, min(len(words), place + reach + 1))
+                    kept.extend(i for i in range(begin, last) if words[i] in query.terms)
                 terms.append([query.terms[words[i]] for i in kept] or None)
                 places.append(kept or None)
             made = [pa.array(c, type=f.type) for c, f in zip((sizes, terms, places), list(_STORED)[2:])]

@@ -136,13 +136,17 @@ def _score(weights: np.ndarray, bias: float):
     return run
 
 
-def toxicity_scores(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    """(doc_id, score) per row: a map over the texts, with the 2^18 weights in the task.
+def toxicity_scores(
+    docs: DataFrame, model: tuple[np.ndarray, float], keep: tuple[str, ...] = ("doc_id",)
+) -> DataFrame:
+    """(the columns to keep, score) per row: a map over the texts, with the 2^18 weights in the task.
 
     Null and empty texts have no words and get the score of the bias alone; a long text's distinct
     words all count, once each.
     """
-    return pick(docs, "doc_id", "text").mapInArrow(_score(*model), "doc_id long, score double")
+    base = pick(docs, *keep, _scored="text")
+    schema = ", ".join(f"`{name}` {kind}" for name, kind in base.dtypes[:-1])
+    return base.mapInArrow(_score(*model), f"{schema}, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, spec: ToxicitySpec = ToxicitySpec(), folds: int = 5) -> DataFrame:
@@ -151,7 +155,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, spec: ToxicitySpec = ToxicitySp
     A row is held out if crc32 of its id as text is divisible by ``folds``; a null id is not held out.
     Without any labels all scores are 0.5.
     """
-    learnt = labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != 0)
+    learnt = pick(labels, "doc_id", "toxic").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != 0)
     scored = toxicity_scores(docs, train(docs, learnt, spec))
     return scored.select(
         "doc_id",
