@@ -7,109 +7,95 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinledger.operators.align import named
-from twinledger.session import broadcast_if_small, estimated_bytes, materialise
+from twinledger.session import broadcast_if_small, materialise
 
-SINGLE_TASK_BYTES = 16 << 20
-TARGET_PARTITION_BYTES = 256 << 20
 _POSITION = "_position"
 _PARTITION_SHIFT = 33
 
 
-def _from_files(df: DataFrame) -> bool:
+def _is_bare_parquet(df: DataFrame) -> bool:
+    """Whether ``df`` is nothing but a parquet scan, so that a row's place in its file is its own.
+
+    File metadata also resolves through sorts and repartitions; only the relation itself counts.
+    """
+    if df._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation":
+        return False
     try:
-        df.select("_metadata.file_path", "_metadata.file_block_start")
+        df.select("_metadata.file_path", "_metadata.row_index")
         return True
     except AnalysisException:
         return False
 
 
-def _offset_by(numbered: DataFrame, blocks: list[str], name: str) -> DataFrame:
-    """Number rows from a per-row position that is consecutive within each block.
+def _offset_by(numbered: DataFrame, block: str, name: str) -> DataFrame:
+    """Number rows from a position that is consecutive within each block.
 
-    Only one row per block (a file split or a written partition) is summed up in order.
+    Only one row per block (a file or a written partition) is summed up in order. A row whose
+    block was not there when rows were counted fails the query; no row is ever left out.
     """
     counted = materialise(
-        numbered.groupBy(*blocks).agg(
+        numbered.groupBy(block).agg(
             F.count(F.lit(1)).alias("_rows"), F.min(_POSITION).alias("_first")
         ),
         "row-number-blocks",
     )
-    before = Window.orderBy(*blocks).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counted.select(
-        *blocks,
+        block,
         (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"),
     )
     small = broadcast_if_small(counted)
     if small is not counted:
         offsets = F.broadcast(offsets)
-    return numbered.join(offsets, blocks).withColumn(
-        name, F.col(_POSITION) + F.col("_shift")
+    lost = F.raise_error(F.concat(F.lit("rows of an uncounted block: "), F.col(block)))
+    shift = F.coalesce(F.col("_shift"), lost.cast("bigint"))
+    return numbered.join(offsets, block, "left").withColumn(name, F.col(_POSITION) + shift)
+
+
+def _number_written(df: DataFrame, label: str, name: str) -> DataFrame:
+    """Write rows once with their partition and place, then number what is written."""
+    columns = [named(c) for c in df.columns]
+    written = materialise(
+        df.select(*columns, F.monotonically_increasing_id().alias("_scan")), label
+    )
+    staged = written.select(
+        *columns,
+        F.shiftright("_scan", _PARTITION_SHIFT).alias("_part"),
+        F.col("_scan").alias(_POSITION),
     )
+    return _offset_by(staged, "_part", name).select(*columns, name)
 
 
 def number_in_scan_order(df: DataFrame, name: str = "rownum") -> DataFrame:
     """Row numbers in file order (path, then position), or in partition order for other plans.
 
-    A file scan is numbered with no shuffle and no copy of the data: one pass counts rows per
-    file split, and the split's offset is broadcast back. Other plans are written once first,
-    because their partitions may differ between evaluations.
+    A bare parquet scan is numbered with no shuffle and no copy: the file's row index plus the
+    rows of the files before it, neither of which depends on how files are split into tasks.
+    Every other plan is written once, because its partitions may differ between evaluations.
     """
+    if not _is_bare_parquet(df):
+        return _number_written(df, "row-number-input", name)
     columns = [named(c) for c in df.columns]
-    if not _from_files(df):
-        df = materialise(
-            df.withColumn("_scan", F.monotonically_increasing_id()), "row-number-input"
-        )
-        staged = df.select(
-            "*",
-            F.shiftright("_scan", _PARTITION_SHIFT).alias("_part"),
-            F.col("_scan").alias(_POSITION),
-        )
-        return _offset_by(staged, ["_part"], name).select(*columns, name)
     staged = df.select(
         *columns,
         F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias(_POSITION),
+        F.col("_metadata.row_index").alias(_POSITION),
     )
-    return _offset_by(staged, ["_file", "_block"], name).select(*columns, name)
+    return _offset_by(staged, "_file", name).select(*columns, name)
 
 
-def number_by(
-    df: DataFrame,
-    order_by: list[str],
-    name: str = "rownum",
-    single_task_bytes: int = SINGLE_TASK_BYTES,
-) -> DataFrame:
+def number_by(df: DataFrame, order_by: list[str], name: str = "rownum") -> DataFrame:
     """Row numbers by ascending columns, NULLs first; ties keep the order they are read in.
 
-    Up to ``single_task_bytes`` one sorted task does it. Beyond, rows are range partitioned by
-    (order, read position) — unique, so a value shared by many rows still splits — sorted and
-    written once; the per-partition counts then turn positions into global numbers. The size
-    of a file scan is known and sets the number of ranges; for other plans the estimate may be
-    far too high, so the session's partition count stands and AQE joins small ranges.
+    Rows are range partitioned by (order, read position) — unique, so a value shared by many
+    rows still splits — sorted and written once; the per-partition counts then turn positions
+    into global numbers.
     """
     columns = [named(c) for c in df.columns]
-    order = [named(c) for c in order_by]
-    size = estimated_bytes(df)
-    if size <= single_task_bytes:
-        window = Window.orderBy(*order)
-        return df.select(*columns, F.row_number().over(window).cast("bigint").alias(name))
-    by = [*order, F.col("_read")]
-    read = df.withColumn("_read", F.monotonically_increasing_id())
-    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    wanted = min(20_000, size // TARGET_PARTITION_BYTES)
-    if wanted > configured and _from_files(df):
-        ranged = read.repartitionByRange(wanted, *by)
-    else:
-        ranged = read.repartitionByRange(*by)
-    ranged = ranged.sortWithinPartitions(*by)
-    written = materialise(
-        ranged.select(*columns, F.monotonically_increasing_id().alias("_scan")),
-        "row-number-sorted",
-    )
-    staged = written.select(
-        *columns,
-        F.shiftright("_scan", _PARTITION_SHIFT).alias("_part"),
-        F.col("_scan").alias(_POSITION),
+    by = [*map(named, order_by), F.col("_read")]
+    ranged = (
+        df.withColumn("_read", F.monotonically_increasing_id())
+        .repartitionByRange(*by)
+        .sortWithinPartitions(*by)
     )
-    return _offset_by(staged, ["_part"], name).select(*columns, name)
+    return _number_written(ranged.select(*columns), "row-number-sorted", name)

@@ -28,7 +28,6 @@ from twinledger.sources import sinks
 from twinledger.sources.load import load_source
 
 ROW_NUMBER = "_source_row"
-_READ_ONCE = ("csv", "excel", "postgres", "mysql")
 
 
 @dataclass(frozen=True)
@@ -103,12 +102,8 @@ def compare(
 
 
 def _land(spark: SparkSession, source: SourceSpec) -> DataFrame:
-    """A source with row numbers; text, workbook and JDBC input is read once and kept columnar."""
-    df = load_source(spark, source)
-    if source.source_type in _READ_ONCE or source.file_path.lower().endswith((".csv", ".xlsx")):
-        numbered = number_in_scan_order(df, ROW_NUMBER)
-        return materialise(numbered, "landed-source")
-    return number_in_scan_order(df, ROW_NUMBER)
+    """A source with row numbers. All but plain parquet is read once, written and numbered there."""
+    return number_in_scan_order(load_source(spark, source), ROW_NUMBER)
 
 
 def run_compare(
