@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from typing import Any, Callable, Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     BooleanType,
@@ -47,6 +47,11 @@ SPACE_SEPARATORS = (
 # Words the date parser knows; an endless date has the same text in any format.
 _EPOCH = literal(r"(?i)^\s*-?epoch\s*$")
 _ENDLESS = literal(r"(?i)^-?inf(?:inity)?$")
+# Codes of the first characters that a date or number text may have besides digits in
+# the case of dates: white space, signs, the point, and the letters of epoch, inf and nan.
+_WHITE = "9, 10, 11, 12, 13, 32"
+_DATE_STARTS = f"{_WHITE}, 43, 45, 69, 73, 101, 105"
+_NUMBER_STARTS = f"{_WHITE}, 43, 45, 46, 73, 78, 105, 110, {', '.join(str(c) for c in range(48, 58))}"
 _NEVER_SPACED = (NumericType, BooleanType, DateType, TimestampType, TimestampNTZType)
 
 
@@ -128,9 +133,14 @@ def normalise_date(text: str, pattern: str) -> str:
     common = format_common_date(f"try_cast(substring({text}, 1, 10) AS DATE)", pattern)
     loose = bind(parse_date("nd"), "nf", format_date("nf", pattern))
     epoch = format_common_date("DATE'1970-01-01'", pattern)
+    dashed = f"substring({text}, 5, 1) = '-' AND {iso_date(text)}"
+    dated = (
+        f"WHEN {dashed} THEN coalesce({common}, {text}) "
+        f"WHEN {maybe_date(text)} THEN {bind(text, 'nd', f'coalesce({loose}, nd)')}"
+    )
     return (
-        f"CASE WHEN {iso_date(text)} THEN coalesce({common}, {text}) "
-        f"WHEN {maybe_date(text)} THEN {bind(text, 'nd', f'coalesce({loose}, nd)')} "
+        f"CASE WHEN ascii({text}) BETWEEN 48 AND 57 THEN CASE {dated} ELSE {text} END "
+        f"WHEN ascii({text}) NOT IN ({_DATE_STARTS}) THEN {text} {dated} "
         f"WHEN {text} RLIKE {_EPOCH} THEN {epoch} "
         f"WHEN {text} RLIKE {_ENDLESS} THEN regexp_replace(lower({text}), 'inf.*', 'infinity') "
         f"ELSE {text} END"
@@ -142,7 +152,8 @@ def normalise_number(text: str, places: int) -> str:
     plain, rounded = short_decimal(text, places)
     number = bind(parse_double("nt"), "nv", fixed_point("nv", places))
     return (
-        f"CASE WHEN {plain} THEN {rounded} "
+        f"CASE WHEN ascii({text}) NOT IN ({_NUMBER_STARTS}) THEN {text} "
+        f"WHEN {plain} THEN {rounded} "
         f"WHEN {looks_numeric(text)} THEN {bind(text, 'nt', f'coalesce({number}, nt)')} "
         f"ELSE {text} END"
     )
@@ -167,38 +178,79 @@ def _typed(x: str, options: CompareOptions, data_type: DataType | None) -> str |
     return None
 
 
-def normalise_expression(
+def normalise_steps(
     x: str,
     options: CompareOptions,
     rules: Iterable[TransformRule] = (),
     data_type: DataType | None = None,
-) -> str:
-    """SQL text that cleans the SQL expression ``x`` of the given type."""
+) -> tuple[str, list[Callable[[str], str]]]:
+    """Cleaning of the SQL expression ``x`` of the given type: a first expression and the steps after.
+
+    A step names its input several times, so each is meant to read a column that holds the last one's
+    result. Applied as projections one after another, the text grows with the number of steps.
+    """
     if isinstance(data_type, FloatType):
         x, data_type = f"CAST(CAST({x} AS STRING) AS DOUBLE)", DoubleType()
     rules = [r for r in rules if r.enabled]
     shortcut = None if rules else _typed(x, options, data_type)
     if shortcut is not None:
-        return shortcut
+        return shortcut, []
     text = as_text(x, data_type)
     if options.trim_whitespace and not isinstance(data_type, _NEVER_SPACED):
         text = trim_text(text)
     for rule in rules:
         text = apply_rule(text, rule)
+    steps: list[Callable[[str], str]] = []
     if options.treat_empty_as_null:
         text = f"nullif({text}, '')"
     if options.ignore_case:
-        text = lower_text(text)
+        steps.append(lower_text)
     if options.normalize_date:
-        text = normalise_date(text, options.date_format)
+        steps.append(lambda t: normalise_date(t, options.date_format))
     if options.normalize_number:
-        if options.normalize_date:
-            text = bind(text, "no", normalise_number("no", options.decimal_places))
-        else:
-            text = normalise_number(text, options.decimal_places)
+        steps.append(lambda t: normalise_number(t, options.decimal_places))
+    return text, steps
+
+
+def normalise_expression(
+    x: str,
+    options: CompareOptions,
+    rules: Iterable[TransformRule] = (),
+    data_type: DataType | None = None,
+) -> str:
+    """The same as one expression, each step evaluated once under a name."""
+    text, steps = normalise_steps(x, options, rules, data_type)
+    for number, step in enumerate(steps):
+        text = bind(text, f"v{number}", step(f"v{number}"))
     return text
 
 
+def normalise_columns(
+    df: DataFrame,
+    kept: list[Column],
+    columns: list[tuple[str, str, Iterable[TransformRule]]],
+    options: CompareOptions,
+) -> DataFrame:
+    """``kept`` columns and, for each (name, alias, rules), the cleaned value under its alias.
+
+    One projection per step: a step that reads its input more than once keeps Catalyst from pasting
+    the steps together, so each value is worked out once per step.
+    """
+    types = {f.name.lower(): f.dataType for f in df.schema.fields}
+    plans = [
+        (alias, *normalise_steps(quoted(name), options, rules, types.get(name.lower())))
+        for name, alias, rules in columns
+    ]
+    out = df.select(*kept, *[F.expr(first).alias(alias) for alias, first, _ in plans])
+    others = [quoted(c) for c in out.columns[: len(kept)]]
+    for number in range(max((len(steps) for *_, steps in plans), default=0)):
+        out = out.select(*map(F.expr, others), *[
+            F.expr(steps[number](quoted(alias)) if number < len(steps) else quoted(alias)).alias(alias)
+            for alias, _, steps in plans
+        ])
+    return out
+
+
 def normalise(
     name: str,
     options: CompareOptions,

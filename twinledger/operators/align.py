@@ -8,7 +8,7 @@ from typing import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinledger.functions.normalise import key_text, normalise
+from twinledger.functions.normalise import key_text, normalise_columns
 from twinledger.plans.spec import LEFT, CompareSpec, TransformRule, rules_for
 
 ROW_ID = "row_id"
@@ -20,6 +20,11 @@ def named(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def scattered(side: str) -> Column:
+    """A number per row that is never 0, so that it marks the row and deals it out evenly."""
+    return F.xxhash64(F.col(ROW_ID), F.lit(side)).bitwiseOR(F.lit(1))
+
+
 def unique_names(names: Iterable[str]) -> list[str]:
     seen: dict[str, str] = {}
     for name in names:
@@ -83,19 +88,15 @@ def align(
     key_names = tuple(f"key_{p.left_col}" for p in spec.key_columns)
     compared = [p.left_col if side == LEFT else p.right_col for p in spec.compare_columns]
     columns = unique_names([*compared, *extra])
-    values = [
-        normalise(
-            c, spec.options, rules_for(rules, c, side), types.get(c.lower())
-        ).alias(f"{side}_{c}")
-        for c in columns
-    ]
     number = named(row_id).cast("bigint") if row_id else F.monotonically_increasing_id() + 1
-    frame = df.select(number.alias(ROW_ID), *keys, *values)
+    frame = normalise_columns(
+        df, [number.alias(ROW_ID), *keys],
+        [(c, f"{side}_{c}", rules_for(rules, c, side)) for c in columns], spec.options,
+    )
     unusable = F.lit(False)
     for key in key_names:
         unusable = unusable | named(key).isNull()
-    side_bit = 1 if side == LEFT else 2
-    spread = F.when(unusable, F.col(ROW_ID) * 2 + side_bit).otherwise(F.lit(0).cast("bigint"))
+    spread = F.when(unusable, scattered(side)).otherwise(F.lit(0).cast("bigint"))
     frame = frame.select(
         ROW_ID, *[named(k) for k in key_names], spread.alias(SPREAD),
         *[named(f"{side}_{c}") for c in columns],

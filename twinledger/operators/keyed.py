@@ -11,7 +11,7 @@ from typing import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinledger.operators.align import ROW_ID, SPREAD, View, align, named
+from twinledger.operators.align import ROW_ID, SPREAD, View, align, named, scattered
 from twinledger.operators.comparison import Comparison, absent, pair_status
 from twinledger.operators.skew import HEAVY, flag_heavy, heavy_keys, is_large, lookup
 from twinledger.plans.spec import (
@@ -24,6 +24,7 @@ from twinledger.plans.spec import (
     CompareSpec,
     TransformRule,
 )
+from twinledger.session import materialise
 
 
 def keyed_views(
@@ -102,7 +103,7 @@ def _compare_window(
     heavy = heavy_keys(usable_keys, keys) if is_large(usable_keys, keys, min_bytes) else None
     if heavy is not None:
         # three sampled rows of one key prove it ambiguous, so its rows need no company
-        own = F.col(ROW_ID) * 2 + F.when(from_left, 1).otherwise(2)
+        own = F.when(from_left, scattered(LEFT)).otherwise(scattered(RIGHT))
         stack = flag_heavy(stack, heavy, keys).withColumn(
             SPREAD, F.when(F.col(HEAVY), own).otherwise(F.col(SPREAD))
         ).drop(HEAVY)
@@ -117,10 +118,10 @@ def _compare_window(
     for key in left.keys:
         usable = usable & named(key).isNotNull()
     proven = usable & (F.col(SPREAD) != 0)
-    paired = (F.col("n_left") == 1) & (F.col("n_right") == 1)
+    paired = usable & (F.col("n_left") == 1) & (F.col("n_right") == 1)
     rows = counted.where(~paired | from_left).select(
         ROW_ID,
-        F.when(proven | _repeated(), F.lit(DUPLICATE_KEY))
+        F.when(proven | (usable & _repeated()), F.lit(DUPLICATE_KEY))
         .when(paired, F.lit(None))
         .when(from_left, F.lit(MISSING_RIGHT))
         .otherwise(F.lit(MISSING_LEFT))
@@ -137,12 +138,12 @@ def _compare_window(
     return rows.select(ROW_ID, status, "side", *map(named, left.keys), LEFT, RIGHT)
 
 
-def _one_sided(view: View, other: View, rows: DataFrame, status: str) -> DataFrame:
+def _one_sided(view: View, other: View, rows: DataFrame, status: str | Column) -> DataFrame:
     empty = absent(other.packed(), other.side)
     sides = {view.side: F.col(view.side), other.side: empty.alias(other.side)}
     return rows.select(
         ROW_ID,
-        F.lit(status).alias("status"),
+        (F.lit(status) if isinstance(status, str) else status).alias("status"),
         F.lit(view.side).alias("side"),
         *map(named, view.keys),
         sides[LEFT],
@@ -204,6 +205,31 @@ def paired_rows(
     )
 
 
+def _compare_join(left: View, right: View, diff_pairs, min_bytes: int | None) -> DataFrame:
+    """Key counts once, landed; one classifying lookup per side; one join of the unique keys."""
+    counts = materialise(key_counts(left, right), "key-counts")
+    sides = {}
+    for view in (left, right):
+        sides[view.side] = _matched(view, counts, "left", min_bytes)
+    unique = (F.col("n_left") == 1) & (F.col("n_right") == 1)
+    alone = ~F.coalesce(unique, F.lit(False))
+    branches = []
+    for view, other, missing in ((left, right, MISSING_RIGHT), (right, left, MISSING_LEFT)):
+        rows = sides[view.side].where(alone)
+        status = F.when(F.coalesce(_repeated(), F.lit(False)), DUPLICATE_KEY).otherwise(missing)
+        branches.append(_one_sided(view, other, rows, status))
+    partners = sides[RIGHT].where(unique).select(*map(named, right.join_keys), RIGHT)
+    paired = sides[LEFT].where(unique).join(partners, left.join_keys).select(
+        ROW_ID,
+        pair_status(diff_pairs).alias("status"),
+        F.lit(BOTH).alias("side"),
+        *map(named, left.keys),
+        LEFT,
+        RIGHT,
+    )
+    return paired.union(branches[0]).union(branches[1])
+
+
 def compare_keyed(
     left: DataFrame,
     right: DataFrame,
@@ -227,12 +253,7 @@ def compare_keyed(
     if strategy == "window":
         frame = _compare_window(a, b, pairs, min_bytes)
     elif strategy == "join":
-        frame = (
-            paired_rows(a, b, pairs, min_bytes)
-            .union(missing_right_rows(a, b, min_bytes))
-            .union(missing_left_rows(a, b, min_bytes))
-            .union(duplicate_rows(a, b, min_bytes))
-        )
+        frame = _compare_join(a, b, pairs, min_bytes)
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
     return Comparison(frame, a.keys, a.values, b.values, pairs)

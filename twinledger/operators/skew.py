@@ -6,13 +6,18 @@ where rows go: a key the sample misses takes the ordinary path with the same res
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinledger.operators.align import ROW_ID, named
 from twinledger.session import estimated_bytes, materialise
 
-MIN_BYTES = 1 << 30
+MIN_BYTES = 4 << 20
+"""Estimated key bytes from which heavy keys are looked for; below, a task holds all keys."""
+
 SAMPLE_BYTES = 64 << 20
 MAX_HEAVY_KEYS = 10_000
 MIN_SAMPLE_HITS = 3
@@ -35,7 +40,7 @@ def heavy_keys(frame: DataFrame, on: list[str]) -> DataFrame | None:
     keys = frame.select(*map(named, on))
     fraction = min(1.0, SAMPLE_BYTES / max(estimated_bytes(keys), 1))
     counted = (
-        keys.where(" AND ".join(f"`{c}` IS NOT NULL" for c in on))
+        keys.where(reduce(and_, (named(c).isNotNull() for c in on)))
         .sample(withReplacement=False, fraction=fraction, seed=7)
         .groupBy(*map(named, on))
         .agg(F.count(F.lit(1)).alias("_hits"))
