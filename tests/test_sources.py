@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from twinledger.plans.run import run_compare
 from twinledger.plans.spec import CompareSpec, SourceSpec, TransformRule
 from twinledger.session import scratch_path
-from twinledger.sources import jdbc, load, mapping, sinks, workbooks
+from twinledger.sources import jdbc, load, mapping, sinks
 
 
 def write(tmp_path, name, text, encoding="utf-8"):
@@ -80,24 +80,6 @@ def test_jdbc_options():
     assert "'o''k'" in jdbc.columns_query("o'k", "t")
 
 
-def test_workbooks_round_trip(spark):
-    path = scratch_path(spark, "books")
-    data = spark.range(2_500).select(
-        F.col("id"), F.when(F.col("id") % 7 == 0, None).otherwise("<a&b> é").alias("text & more"),
-        (F.col("id") / 2 + 1e7).alias("x"),
-    ).repartition(3)
-    written = workbooks.write_workbooks(data, path, "S 1", sheet_rows=400).collect()
-    assert sum(r["rows"] for r in written) == 2_500 and max(r["rows"] for r in written) == 400
-    assert sorted(os.listdir(path)) == sorted(r["file"] for r in written)
-    assert workbooks.list_sheets(spark, path) == ["S 1"]
-    df = load.load_source(spark, SourceSpec("excel", path, sheet_name="S 1"))
-    assert df.columns == ["id", "text___more", "x"]
-    assert df.count() == 2_500 and df.where("text___more IS NULL").count() == 358
-    assert df.where("id = '3'").first() == ("3", "<a&b> é", "10000001.5")
-    skipped = workbooks.read_workbooks(spark, path, 0, skip_rows=400)
-    assert skipped.count() < 2_500
-
-
 def test_mapping_without_header(spark, tmp_path):
     path = write(tmp_path, "m.csv", "﻿A, x ,1\n ,lost,2\nA\nB,,\nB,y,,z\n")
     columns, found = mapping.read_mapping(spark, path)
@@ -107,14 +89,12 @@ def test_mapping_without_header(spark, tmp_path):
     assert (columns, sorted(rows(found))) == (["p"], [("A", "x"), ("B", "y")])
 
 
-def test_mapping_with_header_and_workbook(spark, tmp_path):
+def test_mapping_header_is_one_row_only(spark, tmp_path):
     path = write(tmp_path, "h.csv", "Nilai_Kiri,p,q\nA,x,1\n")
     assert mapping.read_mapping(spark, path)[0] == ["p", "q"]
-    book = scratch_path(spark, "mapping-book")
-    frame = spark.createDataFrame([("A", " x", None), (None, "y", "2")], "left_val string, p string, q string")
-    workbooks.write_workbooks(frame.coalesce(1), book).collect()
-    columns, found = mapping.read_mapping_workbook(spark, book)
-    assert (columns, rows(found)) == (["p", "q"], [("A", "x", "")])
+    path = write(tmp_path, "k.csv", "left_value,seg\nA,x\nkiri,y\nB,z\n")
+    columns, found = mapping.read_mapping(spark, path)
+    assert (columns, sorted(rows(found))) == (["seg"], [("A", "x"), ("B", "z"), ("kiri", "y")])
 
 
 def test_preview_profile_and_catalog(spark):

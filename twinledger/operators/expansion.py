@@ -9,6 +9,7 @@ from __future__ import annotations
 import dataclasses
 from typing import Iterable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,9 +35,14 @@ MAPPED = "_mapped"
 
 
 def mapping_frame(spark, rule: ExpansionRule) -> DataFrame:
-    """The rule's own mapping as rows (left_val, rc_0 …), short rows padded with ''."""
+    """The rule's own mapping as rows (left_val, rc_0 …), short rows padded with ''.
+
+    Made through Arrow, so it is a local relation of known size that a size check can pass.
+    """
     names = ["left_val", *[f"rc_{i}" for i in range(len(rule.right_cols))]]
-    return spark.createDataFrame(rule.mapping_rows(), ", ".join(f"{n} string" for n in names))
+    rows = rule.mapping_rows()
+    columns = {n: pa.array([r[i] for r in rows], type=pa.string()) for i, n in enumerate(names)}
+    return spark.createDataFrame(pa.table(columns))
 
 
 @dataclasses.dataclass(frozen=True)

@@ -27,7 +27,9 @@ from twinledger.plans.spec import (
 RESULT_COLUMNS = (
     ROW_ID, "status", "key_values", "left_data", "right_data", "diff_columns",
 )
-RESULT_ORDER = (ROW_ID, "status", "key_values")
+RESULT_ORDER = (ROW_ID, "status", "key_values", "left_data", "right_data")
+"""Total but for rows alike in all columns, so pages of separate jobs fit together."""
+
 DASH = "—"
 SHALLOW_ROWS = 100_000
 
@@ -259,7 +261,7 @@ def report_rows(
 ) -> DataFrame:
     """The labelled report: running number in row order, status label, readable keys and data."""
     numbered = number_by(
-        results.select(*RESULT_COLUMNS), [*RESULT_ORDER, "left_data", "right_data"],
+        results.select(*RESULT_COLUMNS), list(RESULT_ORDER),
         "No", **numbering,
     )
     differing = F.from_json("diff_columns", "array<string>")

@@ -56,7 +56,7 @@ def latest_states(states: DataFrame) -> DataFrame:
     """The newest state of each run."""
     columns = [c for c in states.columns if c != "id"]
     newest = states.groupBy("id").agg(
-        F.max_by(F.struct(*columns), "updated_at").alias("s")
+        F.max_by(F.struct(*columns), F.struct("updated_at", *columns)).alias("s")
     )
     return newest.select("id", *[F.col(f"s.{c}").alias(c) for c in columns])
 
@@ -104,10 +104,10 @@ def recent_runs(runs: DataFrame, n: int) -> DataFrame:
 
 
 def run_history(
-    runs: DataFrame, status: str | None = None, search: str | None = None, limit: int = 500
+    runs: DataFrame, status: str | None = None, search: str | None = None, limit: int | None = None
 ) -> DataFrame:
-    """The most recent runs, then the status and name/id filters, newest first."""
-    shown = recent_runs(runs, limit)
+    """The runs that pass the status and name/id filters, newest first; of those ``limit`` if given."""
+    shown = runs
     if status:
         shown = shown.where(F.col("status") == status)
     wanted = (search or "").strip().lower()
@@ -115,7 +115,8 @@ def run_history(
         shown = shown.where(
             F.contains(F.lower("name"), F.lit(wanted)) | F.contains(F.lower("id"), F.lit(wanted))
         )
-    return with_figures(shown)
+    newest = [F.desc("created_at"), "id"]
+    return with_figures(shown.orderBy(*newest) if limit is None else recent_runs(shown, limit))
 
 
 def runs_older_than(
@@ -126,16 +127,16 @@ def runs_older_than(
     return runs.where(old).orderBy("created_at", "id")
 
 
-def run_kpis(runs: DataFrame) -> DataFrame:
-    """One row: run and completed counts, rows of the 50 newest runs, and the mean mismatch
-    percentage of the ten newest of those that carry a summary."""
+def run_kpis(runs: DataFrame, newest: int = 50, averaged: int = 10) -> DataFrame:
+    """One row: run and completed counts, rows of the ``newest`` runs, and the mean mismatch
+    percentage of the ``averaged`` newest of those that carry a summary."""
     counts = runs.agg(
         F.count(F.lit(1)).alias("runs"),
         F.count(F.when(F.col("status") == "completed", 1)).alias("completed"),
     )
-    recent = with_figures(recent_runs(runs, 50))
+    recent = with_figures(recent_runs(runs, newest))
     rows = recent.agg(F.coalesce(F.sum("total_rows"), F.lit(0)).alias("recent_rows"))
-    ten = recent.where("has_summary").orderBy(F.desc("created_at"), "id").limit(10)
+    ten = recent.where("has_summary").orderBy(F.desc("created_at"), "id").limit(averaged)
     mean = ten.agg(F.avg("mismatch_pct").alias("mean"))
     joined = counts.select(
         "*", rows.scalar().alias("recent_rows"), mean.scalar().alias("mean")

@@ -1,4 +1,4 @@
-"""Lazy scans of either side: delimited text, workbooks, columnar files, JDBC, tables, SQL."""
+"""Lazy scans of either side: delimited text, columnar files, JDBC, tables, SQL."""
 
 from __future__ import annotations
 
@@ -13,7 +13,6 @@ from twinledger.operators.align import named
 from twinledger.plans.spec import SourceSpec
 from twinledger.session import broadcast_if_small
 from twinledger.sources.jdbc import read_jdbc
-from twinledger.sources.workbooks import read_workbooks
 
 # Separators that are sniffed, encodings spelled as Java knows them, and the
 # texts a spreadsheet-style CSV reader takes for missing.
@@ -23,14 +22,14 @@ ENCODINGS = {
     "utf8": "UTF-8",
     "latin1": "ISO-8859-1",
     "iso88591": "ISO-8859-1",
-    "cp1252": "ISO-8859-1",
+    "cp1252": "windows-1252",
 }
 MISSING_TOKENS = (
     "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 EXTENSIONS = {
-    ".csv": "csv", ".tsv": "csv", ".txt": "csv", ".xlsx": "excel",
+    ".csv": "csv", ".tsv": "csv", ".txt": "csv",
     ".parquet": "parquet", ".orc": "orc", ".json": "json",
 }
 
@@ -136,10 +135,6 @@ def load_source(spark: SparkSession, source: SourceSpec) -> DataFrame:
     kind = source.source_type or EXTENSIONS.get(os.path.splitext(source.file_path)[1].lower(), "")
     if kind == "csv":
         df = read_csv(spark, source)
-    elif kind == "excel":
-        df = read_workbooks(
-            spark, source.file_path, source.sheet_name or 0, source.skip_rows
-        )
     elif kind in ("parquet", "orc", "json"):
         df = spark.read.format(kind).load(source.file_path)
     elif kind in ("postgres", "mysql"):

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinledger.session import materialise
 from twinledger.sources.load import encoding_name
-from twinledger.sources.workbooks import read_workbooks
 
 # First header cells that mark a header row.
 HEADER_MARKS = ("left_value", "left_val", "kiri", "nilai_kiri")
@@ -27,9 +27,11 @@ def read_mapping(
 ) -> tuple[list[str], DataFrame]:
     """Right column names and the mapping rows (left_val, rc_0 …) of a delimited file.
 
-    An optional header is told by its first cell. Cells are trimmed, rows without a left value
-    or without any right value are dropped, and rows are padded or cut to the columns: those
-    of the header, else ``right_cols``, else ``col_i`` for the widest row.
+    An optional header, the first row of the first file, is told by its first cell; only that row
+    is taken out. Cells are trimmed, rows without a left value or without any right value are
+    dropped, and rows are padded or cut to the columns: those of the header, else ``right_cols``,
+    else ``col_i`` for the widest row. Cells may hold line breaks, so a file is read by one task;
+    the rows are written once, as their order tells the header.
     """
     separated = F.size(F.split("value", "\\Q" + separator + "\\E"))
     lines = spark.read.option("encoding", encoding_name(encoding)).text(path)
@@ -42,25 +44,19 @@ def read_mapping(
         .option("escape", '"')
         .option("multiLine", True)
         .csv(path)
+        .select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at"))
     )
-    return _interpret(cells, right_cols)
-
-
-def read_mapping_workbook(
-    spark: SparkSession, path: str, right_cols: list[str] | None = None
-) -> tuple[list[str], DataFrame]:
-    """The same from the first sheet of a workbook, header row included in the cells."""
-    sheet = read_workbooks(spark, path)
-    header = spark.createDataFrame(
-        [tuple(sheet.columns)], ", ".join(f"c{i} string" for i in range(len(sheet.columns)))
-    )
-    return _interpret(header.union(sheet), right_cols)
+    return _interpret(materialise(cells, "mapping-rows"), right_cols)
 
 
 def _interpret(cells: DataFrame, right_cols: list[str] | None) -> tuple[list[str], DataFrame]:
-    names = cells.columns
-    marks = F.lower(_strip(F.regexp_replace("c0", "^﻿", ""))).isin(*HEADER_MARKS)
-    first = cells.limit(1).select(*[_strip(F.col(c)).alias(c) for c in names]).first()
+    names = [c for c in cells.columns if c not in ("_file", "_at")]
+    first = (
+        cells.orderBy("_file", "_at").limit(1)
+        .select(*[_strip(F.col(c)).alias(c) for c in names], "_file", "_at").first()
+    )
+    at = first and (first["_file"], first["_at"])
+    first = first and first[: len(names)]
     titled = (
         first is not None
         and first[0].lstrip("﻿").lower() in HEADER_MARKS
@@ -70,7 +66,7 @@ def _interpret(cells: DataFrame, right_cols: list[str] | None) -> tuple[list[str
     if titled:
         width = max(i for i, v in enumerate(first) if v)
         header = list(first[1 : width + 1])
-        cells = cells.where(~F.coalesce(marks, F.lit(False)))
+        cells = cells.where((F.col("_file") != at[0]) | (F.col("_at") != at[1]))
     columns = header or list(right_cols or [])
     if not columns:
         used = [F.max(F.when(F.col(c).isNotNull(), F.lit(i))) for i, c in enumerate(names) if i]

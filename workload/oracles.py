@@ -381,9 +381,9 @@ UNION ALL (SELECT 'missing_left', row_id, key_values FROM res
            WHERE status = 'missing_left' ORDER BY row_id LIMIT 5)"""
 ORACLES["result_page"] = f"""WITH {ORDER_CTES}
 SELECT {RESULT} FROM res WHERE status = 'mismatch'
-ORDER BY row_id, status, key_values LIMIT 100 OFFSET 100"""
+ORDER BY row_id, status, key_values, left_data NULLS FIRST, right_data NULLS FIRST LIMIT 100 OFFSET 100"""
 ORACLES["result_page_deep"] = f"""WITH {ORDER_CTES}
-SELECT {RESULT} FROM res ORDER BY row_id, status, key_values LIMIT 200 OFFSET 3800"""
+SELECT {RESULT} FROM res ORDER BY row_id, status, key_values, left_data NULLS FIRST, right_data NULLS FIRST LIMIT 200 OFFSET 3800"""
 
 
 def detail(ctes: str, left: list[str], right: list[str], key_name: str, names: list[str]) -> str:
@@ -449,11 +449,6 @@ ORACLES["sanitize_columns"] = _ORDER_TEXT
 ORACLES["scan_csv_multiline"] = (
     "SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, NULLIF(text, '') AS text FROM documents"
 )
-ORACLES["scan_workbooks"] = """
-SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name,
-       CAST(c_nationkey AS VARCHAR) AS c_nationkey, CAST(c_acctbal AS VARCHAR) AS c_acctbal,
-       c_mktsegment
-FROM customer"""
 _WIDTHS = {
     "nation": 3, "region": 2, "customer": 5, "part": 6, "orders": 6, "lineitem": 11, "events": 6,
     "documents": 5,
@@ -515,7 +510,7 @@ def run_pct(column: str) -> str:
 _SECONDS = "CAST(FLOOR((epoch_us(updated_at) - epoch_us(created_at)) / 1000000.0) AS BIGINT)"
 ORACLES["run_history"] = f"""
 WITH f AS (SELECT *, {_SECONDS} AS secs FROM ({_FIGURES}) g
-           ORDER BY created_at DESC, id LIMIT 500)
+           )
 SELECT id, 'JOB-' || UPPER(SUBSTR(id, 1, 8)) AS job_number, name, job_type, status, total_rows,
        {run_pct('m')} AS match_pct, {run_pct('mm')} AS mismatch_pct, {run_pct('ms')} AS missing_pct,
        CASE WHEN secs < 60 THEN secs || 's'

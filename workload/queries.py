@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinledger.functions.normalise import normalise
+from twinledger.functions.normalise import normalise, normalise_columns
 from twinledger.operators import expansion, keyed, report
 from twinledger.operators.align import ROW_ID, align, named
 from twinledger.operators.comparison import Comparison
@@ -30,7 +30,7 @@ from twinledger.plans.spec import (
     auto_map,
 )
 from twinledger.session import scratch_path
-from twinledger.sources import load, mapping, sinks, workbooks
+from twinledger.sources import load, mapping, sinks
 from workload import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -205,7 +205,7 @@ def q_row_order(spark, d):
 @query("row_numbers")
 def q_row_numbers(spark, d):
     orders = fx.table(spark, d, "orders").select("o_custkey", "o_orderkey")
-    return number_by(orders, ["o_custkey", "o_orderkey"], "n", single_task_bytes=0)
+    return number_by(orders, ["o_custkey", "o_orderkey"], "n")
 
 
 @query("row_numbers_scan_order")
@@ -301,10 +301,7 @@ def q_norm_text(spark, d):
 @query("norm_all_options")
 def q_norm_all(spark, d):
     lines = fx.table(spark, d, "lineitem")
-    return lines.select(*[
-        normalise(f.name, FULL_OPTIONS, (), f.dataType).alias(f.name)
-        for f in lines.schema.fields
-    ])
+    return normalise_columns(lines, [], [(c, c, ()) for c in lines.columns], FULL_OPTIONS)
 
 
 @query("norm_date")
@@ -468,14 +465,6 @@ def q_scan_csv_multiline(spark, d):
     return load.load_source(spark, source)
 
 
-@query("scan_workbooks")
-def q_scan_workbooks(spark, d):
-    path = scratch_path(spark, "workbooks")
-    customers = fx.table(spark, d, "customer").repartition(4, "c_nationkey")
-    workbooks.write_workbooks(customers, path, "Data", sheet_rows=200).collect()
-    return load.load_source(spark, SourceSpec("excel", path, sheet_name="Data"))
-
-
 @query("sanitize_columns")
 def q_sanitize(spark, d):
     return load.sanitize_columns(_odd_orders(spark, d))
