@@ -24,6 +24,12 @@ class Rows:
         running = np.concatenate([[0.0], np.cumsum(weights[self.columns])])
         return running[self.ends] - running[np.concatenate([[0], self.ends[:-1]])] if len(self.ends) else np.empty(0)
 
+    def within(self, active: np.ndarray) -> Rows:
+        """The rows with only the active columns, numbered anew in order."""
+        kept = np.concatenate([[0], np.cumsum(active[self.columns])])
+        place = np.cumsum(active) - 1
+        return Rows(place[self.columns[active[self.columns]]].astype(np.int32), kept[self.ends])
+
     def spread(self, values: np.ndarray, size: int) -> np.ndarray:
         sizes = np.diff(np.concatenate([[0], self.ends]))
         return np.bincount(self.columns, weights=np.repeat(values, sizes), minlength=size)
@@ -33,27 +39,40 @@ def sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
+def significant(lists: list[np.ndarray], labels: np.ndarray, size: int, least: float = 5.0, rows: int = 5):
+    """Features in at least ``rows`` rows whose share of positive rows is ``least`` deviations off the mean."""
+    distinct = [np.unique(x) for x in lists]
+    met = np.bincount(np.concatenate([np.empty(0, np.int32), *distinct]).astype(np.int64), minlength=size)
+    good = [x for x, y in zip(distinct, labels) if y > 0.5]
+    positive = np.bincount(np.concatenate([np.empty(0, np.int32), *good]).astype(np.int64), minlength=size)
+    n, share = max(2, len(labels)), float(np.mean(labels > 0.5)) if len(labels) else 0.0
+    spread = np.sqrt(met * share * (1 - share) * (n - met) / (n - 1))
+    return (met >= rows) & (np.abs(positive - met * share) > least * np.maximum(spread, 1e-9))
+
+
 def fit(
     rows: Rows, labels: np.ndarray, size: int, l1: float = 1e-5, l2: float = 1e-4, steps: int = 150,
     rate: float = 0.1, weights: np.ndarray | None = None,
     twins: tuple[np.ndarray, Rows] | None = None, twin_penalty: float = 0.0,
+    active: np.ndarray | None = None,
 ) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic regression by proximal Adam steps over all rows.
 
     ``labels`` may be probabilities. ``twins`` are (row numbers, changed rows): the squared difference
-    between a row's logit and its twin's counts ``twin_penalty`` times. Features met in fewer than two
-    rows keep the weight 0.
+    between a row's logit and its twin's counts ``twin_penalty`` times. Features outside ``active``
+    (by default those met fewer than twice) keep the weight 0.
     """
     if not len(labels):
         return np.zeros(size), 0.0
     share = (np.ones(len(labels)) if weights is None else weights).astype(np.float64)
     share = share / share.sum()
     prior = min(max(float(share @ labels), 1e-3), 1 - 1e-3)
+    if active is None:
+        active = np.bincount(rows.columns, minlength=size) >= 2
+    whole, size, rows = np.zeros(size), int(active.sum()), rows.within(active)
+    twins = None if twins is None or not len(twins[0]) else (twins[0], twins[1].within(active))
     bias, w = float(np.log(prior / (1 - prior))), np.zeros(size)
     first, second, fb, sb = np.zeros(size), np.zeros(size), 0.0, 0.0
-    active = np.bincount(rows.columns, minlength=size) >= 2
-    if twins is not None and not len(twins[0]):
-        twins = None
     for step in range(1, steps + 1):
         z = rows.totals(w) + bias
         error = share * (sigmoid(z) - labels)
@@ -68,8 +87,9 @@ def fit(
         second = 0.99 * second + 0.01 * gradient**2
         pace = speed / (np.sqrt(second / (1 - 0.99**step)) + 1e-6)
         w = w - pace * first / (1 - 0.9**step)
-        w = np.where(active, np.sign(w) * np.maximum(np.abs(w) - np.minimum(pace * l1, speed), 0), 0.0)
+        w = np.sign(w) * np.maximum(np.abs(w) - np.minimum(pace * l1, speed), 0)
         slope = float(error.sum())
         fb, sb = 0.9 * fb + 0.1 * slope, 0.99 * sb + 0.01 * slope**2
         bias -= speed * (fb / (1 - 0.9**step)) / (np.sqrt(sb / (1 - 0.99**step)) + 1e-6)
-    return w, bias
+    whole[active] = w
+    return whole, bias

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinledger.llm.common import WORD_CACHE, pick
-from twinledger.llm.linear import Rows, fit, sigmoid
+from twinledger.llm.linear import Rows, fit, sigmoid, significant
 
 #: Words that name a group, by kind and language; a term is swapped within its row.
 IDENTITY_TERMS = (
@@ -37,9 +37,10 @@ class ToxicitySpec:
 
     labelled_rows: int = 12_000
     counterfactual: float = 10.0
-    l1: float = 2e-5
-    l2: float = 1e-5
-    steps: int = 120
+    toxic_weight: float = 3.0
+    l2: float = 1e-4
+    steps: int = 400
+    deviations: float = 5.0
     seed: int = 11
 
 
@@ -85,7 +86,8 @@ def train(docs: DataFrame, labels: DataFrame, spec: ToxicitySpec = ToxicitySpec(
 
     Each sampled text with an identity term gets a twin in which the terms are swapped; the squared
     change of the logit is a penalty beside the loss, so the terms themselves end up with equal weights
-    and what is said about a group decides.
+    and what is said about a group decides. Only features whose documents are toxic far more or less
+    often than the rest (``deviations``) get a weight, so a long text's many rare words stay silent.
     """
     sample = (
         pick(labels, "toxic", id="doc_id").where("id IS NOT NULL AND toxic IS NOT NULL")
@@ -101,7 +103,9 @@ def train(docs: DataFrame, labels: DataFrame, spec: ToxicitySpec = ToxicitySpec(
     twins = [(i, x.values.to_numpy()) for i, x in enumerate(_lists(rows.column("twin"))) if x.is_valid]
     labels_ = rows.column("label").to_numpy()
     return fit(
-        Rows.of(features), labels_, FEATURES, spec.l1, spec.l2, spec.steps,
+        Rows.of(features), labels_, FEATURES, 0.0, spec.l2, spec.steps,
+        weights=1 + (spec.toxic_weight - 1) * labels_,
+        active=significant(features, labels_, FEATURES, spec.deviations),
         twins=(np.array([i for i, _ in twins], dtype=np.int64), Rows.of([x for _, x in twins])),
         twin_penalty=spec.counterfactual,
     )
