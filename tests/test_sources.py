@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinledger.plans.run import run_compare
-from twinledger.plans.spec import CompareSpec, SourceSpec, TransformRule
+from twinledger.plans.spec import MISSING_TOKENS, CompareSpec, SourceSpec, TransformRule
 from twinledger.session import scratch_path
 from twinledger.sources import jdbc, load, mapping, sinks
 
@@ -29,7 +29,7 @@ def test_csv_is_all_text_with_safe_names(spark, tmp_path):
 
 def test_csv_options(spark, tmp_path):
     path = write(tmp_path, "b.csv", "note\nmore,\nid,v\n1,NA\n2,é\n", "latin-1")
-    source = SourceSpec("csv", path, csv_encoding="latin-1", skip_rows=2, null_tokens=load.MISSING_TOKENS)
+    source = SourceSpec("csv", path, csv_encoding="latin-1", skip_rows=2, null_tokens=MISSING_TOKENS)
     assert sorted(rows(load.load_source(spark, source))) == [("1", None), ("2", "é")]
     bare = write(tmp_path, "c.csv", "1,a\n2,b\n")
     df = load.load_source(spark, SourceSpec("csv", bare, has_header=False))

@@ -39,6 +39,11 @@ def status_label(status: Column) -> Column:
     return F.coalesce(labels[status], status)
 
 
+def thousands_text(number: Column) -> Column:
+    """A whole number with commas, ``1,234``."""
+    return F.format_number(number.cast("bigint"), 0)
+
+
 def one_place(value: str) -> str:
     """``%.1f`` of a numeric SQL expression, NULL staying NULL."""
     return bind(f"CAST({value} AS DOUBLE)", "op", fixed_point("op", 1))

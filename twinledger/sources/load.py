@@ -24,10 +24,6 @@ ENCODINGS = {
     "iso88591": "ISO-8859-1",
     "cp1252": "windows-1252",
 }
-MISSING_TOKENS = (
-    "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
-    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
-)
 EXTENSIONS = {
     ".csv": "csv", ".tsv": "csv", ".txt": "csv",
     ".parquet": "parquet", ".orc": "orc", ".json": "json",
