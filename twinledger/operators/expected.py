@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from twinledger.functions.normalise import normalise_mapping_value
 from twinledger.operators.align import ROW_ID, align, named
 from twinledger.operators.expansion import mapping_frame
+from twinledger.operators.skew import is_large, lookup
 from twinledger.plans.spec import LEFT, CompareSpec, ExpansionRule, TransformRule
-from twinledger.session import broadcast_if_small
+from twinledger.session import fits_broadcast
 
 
 def expected_rows(
@@ -50,8 +51,11 @@ def expected_rows(
         if p.left_col.lower() != rule.left_col.lower()
     ]
     rows = view.frame.select(ROW_ID, *keys, *plain, named(owner).alias("left_val"))
-    marked = broadcast_if_small(targets.withColumn("_known", F.lit(True)))
-    joined = rows.join(marked, "left_val", "left")
+    marked = targets.withColumn("_known", F.lit(True))
+    if fits_broadcast(marked):
+        joined = rows.join(F.broadcast(marked), "left_val", "left")
+    else:  # few values may hold most left rows, so they are salted
+        joined = lookup(rows, marked, ["left_val"], "left", is_large(rows, ["left_val"]))
     filled = [
         F.when(F.col("_known"), F.col(cell)).otherwise(
             F.col("left_val") if i == 0 else F.lit(None)
