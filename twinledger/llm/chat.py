@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinledger.llm.common import pick
+from twinledger.llm.common import map_batches, pick
 from twinledger.session import materialise
 
 # The template. A turn is ``### role: text</turn>`` and a line end; in roles and texts
@@ -155,7 +155,7 @@ def format_conversations(messages: DataFrame, top: int = 1) -> DataFrame:
     grouped = joined.groupBy("c", "rank").agg(
         F.first("conv").alias("conv"), F.array_sort(F.collect_list("turn")).alias("turns")
     )
-    return grouped.select("conv", "rank", "turns").mapInArrow(
+    return grouped.select("conv", "rank", "turns").transform(map_batches,
         _format, "conv long, rank int, formatted string, loss array<struct<start: long, end: long>>"
     )
 
@@ -182,7 +182,7 @@ def _digest(batches):
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """Digests of what the formatted texts say, by parsing them and reading their loss spans."""
-    return formatted.select("conv", "formatted", "loss").mapInArrow(
+    return formatted.select("conv", "formatted", "loss").transform(map_batches,
         _digest,
         "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long",
     )

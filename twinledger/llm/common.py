@@ -12,7 +12,10 @@ from twinledger.session import fits_broadcast, materialise
 BROADCAST_BYTES = 8 << 20
 """Written (compressed) bytes up to which a lookup table is broadcast; beyond, a shuffle join."""
 
-WORD_CACHE = 400_000
+BATCH_ROWS = 500
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+WORD_CACHE = 200_000
 """Words a task keeps the hash of; further words are hashed each time they are met."""
 
 
@@ -47,6 +50,18 @@ def sized_join(df: DataFrame, written: DataFrame, on, how: str) -> DataFrame:
     return df.join(F.broadcast(written) if small else written, on, how)
 
 
+def map_batches(df: DataFrame, run, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with batches of at most ``BATCH_ROWS`` rows.
+
+    Texts may be long, and Arrow's buffers lie outside the executor's heap. Spark takes the limit from
+    the session when the plan runs, so it stays set there; a smaller one is left alone.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get(_BATCH_SETTING, "10000")) > BATCH_ROWS:
+        conf.set(_BATCH_SETTING, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 class WordHashes(dict):
     """64-bit hashes of words, kept for up to ``WORD_CACHE`` of them."""
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinledger.llm.common import pick
+from twinledger.llm.common import map_batches, pick
 from twinledger.session import materialise
 
 ITEM_BLOCK_BYTES = 4 << 20
@@ -216,11 +216,11 @@ def benchmark_matches(
         vocabulary = frozenset(w for _, ws in wanted for w in ws)
         counts = {
             bytes(r["term"]): r["n"] for r in base.select("text")
-            .mapInArrow(_count_terms(vocabulary), "term binary, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+            .transform(map_batches, _count_terms(vocabulary), "term binary, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
         }
         query = plan(wanted, counts, spec)
         stored = materialise(
-            base.select("row", "doc_id", "text").mapInArrow(
+            base.select("row", "doc_id", "text").transform(map_batches,
                 _post(query, spec), "row long, doc_id long, n_words long, terms array<int>, places array<int>"
             ),
             "postings",
@@ -233,7 +233,7 @@ def benchmark_matches(
             "inverted-index",
         )
         texts = index.groupBy("row").agg(F.collect_list(F.struct("term", "places")).alias("lists"))
-        found.append(texts.mapInArrow(
+        found.append(texts.transform(map_batches,
             _match(query, spec), "row long, item_id long, kind string, start long, end long"
         ))
     matches = found[0]

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinledger.llm.common import mixed, pick, sized_join
+from twinledger.llm.common import map_batches, mixed, pick, sized_join
 from twinledger.session import materialise
 
 
@@ -140,7 +140,7 @@ def repeated_chunks(docs: DataFrame, spec: LineChunks = LineChunks()) -> DataFra
     """
     base = pick(docs, "doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     chunks = materialise(
-        base.mapInArrow(_hash_chunks(spec), "hi long, lo long, doc_id long, chunk int"), "line-chunks"
+        base.transform(map_batches, _hash_chunks(spec), "hi long, lo long, doc_id long, chunk int"), "line-chunks"
     )
     place = F.struct("doc_id", "chunk")
     repeated = materialise(
@@ -155,7 +155,7 @@ def repeated_chunks(docs: DataFrame, spec: LineChunks = LineChunks()) -> DataFra
         "line-asked",
     )
     bodies = materialise(
-        sized_join(base, asked, "doc_id", "inner").select("doc_id", "text", "asked").mapInArrow(
+        sized_join(base, asked, "doc_id", "inner").select("doc_id", "text", "asked").transform(map_batches,
             _bodies_of(spec), "hi long, lo long, doc_id long, chunk int, first boolean, body binary"
         ),
         "line-bodies",

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinledger.llm.common import WordHashes, components, mixed, pick, sized_join
+from twinledger.llm.common import WordHashes, components, map_batches, mixed, pick, sized_join
 from twinledger.session import materialise
 
 BLOCK = 256
@@ -185,7 +185,7 @@ def near_duplicates(docs: DataFrame, spec: NearDuplicates = NearDuplicates()) ->
     """
     spark = docs.sparkSession
     schema = "id long, n_shingles long, set_key binary, bands array<long>, signature binary"
-    signed = materialise(pick(docs, "doc_id", "text").mapInArrow(_sign(spec), schema), "minhash")
+    signed = materialise(pick(docs, "doc_id", "text").transform(map_batches, _sign(spec), schema), "minhash")
     classes = materialise(
         signed.where("set_key IS NOT NULL AND id IS NOT NULL")
         .groupBy("set_key").agg(F.min("id").alias("rep")),
@@ -213,7 +213,7 @@ def near_duplicates(docs: DataFrame, spec: NearDuplicates = NearDuplicates()) ->
 
     texts = sized_join(
         pick(docs, "text", id="doc_id"), members, "id", "left_semi"
-    ).mapInArrow(_sets(spec), "id long, shingles array<long>")
+    ).transform(map_batches, _sets(spec), "id long, shingles array<long>")
     sets = materialise(
         sized_join(texts, members, "id", "inner").dropDuplicates(["id"]), "minhash-sets"
     )

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinledger.llm.common import pick
+from twinledger.llm.common import map_batches, pick
 from twinledger.llm.linear import Rows, fit, sigmoid
 from twinledger.session import materialise
 
@@ -264,11 +264,11 @@ def personal_data(docs: DataFrame, least: float = 0.8) -> DataFrame:
     rows come back as often as given.
     """
     found = materialise(
-        pick(docs, "doc_id", "text").mapInArrow(_candidates, f"doc_id long, found {_SPAN_SQL}"), "pii-candidates"
+        pick(docs, "doc_id", "text").transform(map_batches, _candidates, f"doc_id long, found {_SPAN_SQL}"), "pii-candidates"
     )
     counted = found.select(F.explode("found.pattern").alias("p")).groupBy("p").count().collect()
     scores = train({r["p"]: r["count"] for r in counted})
     counts = ", ".join(f"n_{k} long" for k in KINDS)
-    return found.mapInArrow(
+    return found.transform(map_batches,
         _decide(scores, least), f"doc_id long, {counts}, base_sha256 string, spans string"
     )

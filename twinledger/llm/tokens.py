@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinledger.llm.common import WORD_CACHE, pick
+from twinledger.llm.common import WORD_CACHE, map_batches, pick
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -212,7 +212,7 @@ def count_tokens(docs: DataFrame, vocabulary: bytes) -> DataFrame:
     chosen = ["doc_id", "text", *(["edits"] if "edits" in docs.columns else [])]
     base = pick(docs, *chosen)
     schema = ", ".join(f"{n} {t}" for n, t in base.dtypes)
-    return base.mapInArrow(_build(vocabulary), f"{schema}, n_tokens long, tree array<int>")
+    return base.transform(map_batches, _build(vocabulary), f"{schema}, n_tokens long, tree array<int>")
 
 
 def apply_edits(counted: DataFrame, vocabulary: bytes) -> DataFrame:
@@ -222,7 +222,7 @@ def apply_edits(counted: DataFrame, vocabulary: bytes) -> DataFrame:
     text that the former ones left; places outside the text are moved to its ends. Only pre-tokens
     round an edit are encoded again (``n_reencoded`` characters in all) and only sums above them change.
     """
-    return counted.select("doc_id", "text", "edits", "n_tokens", "tree").mapInArrow(
+    return counted.select("doc_id", "text", "edits", "n_tokens", "tree").transform(map_batches,
         _apply(vocabulary),
         "doc_id long, n_tokens long, text string, n_tokens_edited long, n_reencoded long, tree array<int>",
     )

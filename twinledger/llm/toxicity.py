@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinledger.llm.common import WORD_CACHE, pick
+from twinledger.llm.common import WORD_CACHE, map_batches, pick
 from twinledger.llm.linear import Rows, fit, sigmoid, significant
 
 #: Words that name a group, by kind and language; a term is swapped within its row.
@@ -96,7 +96,7 @@ def train(docs: DataFrame, labels: DataFrame, spec: ToxicitySpec = ToxicitySpec(
     )
     rows = (
         pick(docs, "text", id="doc_id").join(F.broadcast(sample), "id")
-        .select("text", "label").mapInArrow(_extract, "features array<int>, twin array<int>, label double")
+        .select("text", "label").transform(map_batches, _extract, "features array<int>, twin array<int>, label double")
         .toArrow()
     )
     features = [np.asarray(x.values) for x in _lists(rows.column("features"))]
@@ -150,7 +150,7 @@ def toxicity_scores(
     """
     base = pick(docs, *keep, _scored="text")
     schema = ", ".join(f"`{name}` {kind}" for name, kind in base.dtypes[:-1])
-    return base.mapInArrow(_score(*model), f"{schema}, score double")
+    return base.transform(map_batches, _score(*model), f"{schema}, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, spec: ToxicitySpec = ToxicitySpec(), folds: int = 5) -> DataFrame:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinledger.llm.common import mixed, pick
+from twinledger.llm.common import map_batches, mixed, pick
 from twinledger.llm.linear import Rows, fit, sigmoid
 
 #: The rules of the production filter, ``host/path prefix`` to verdict.
@@ -121,7 +121,7 @@ def url_verdicts(
             known_host.alias("host"), known_path.alias("path"), F.col("blocked").cast("boolean").alias("blocked")
         ).where("blocked IS NOT NULL")
     weights, bias = train(known)
-    scored = parsed.mapInArrow(
+    scored = parsed.transform(map_batches,
         _score(weights, bias), "page_id long, host string, path string, rule string, block_score double"
     )
     by_score = F.when(F.col("block_score") >= 0.5, F.lit("block")).otherwise(F.lit("allow"))
