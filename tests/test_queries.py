@@ -31,3 +31,19 @@ def test_query_equals_its_sql(spark, db, name):
 
 def test_entry(spark):
     assert entry(spark).count() == 5
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_expansion_with_a_small_mapping_takes_few_shuffles(spark):
+    plan = plan_of(REGISTRY["ge_compare"](spark, SMALL))
+    assert plan.count("Exchange hashpartitioning") <= 6
+    assert plan.count("BroadcastHashJoin") >= 4
+
+
+def test_row_numbers_leave_the_compare_distributed(spark):
+    plan = plan_of(REGISTRY["compare_keyed"](spark, SMALL))
+    assert "Exchange hashpartitioning" in plan
+    assert plan.count("SinglePartition") == plan.count("row-number-blocks")  # one row per written part

@@ -28,7 +28,7 @@ from twinledger.plans.spec import (
     ExpansionRule,
     TransformRule,
 )
-from twinledger.session import broadcast_if_small, fits_broadcast
+from twinledger.session import broadcast_if_small, fits_broadcast, materialise
 
 OWNER = "_owner"
 MAPPED = "_mapped"
@@ -65,10 +65,10 @@ def _prepare(left, right, spec, rule, mapping, rules, left_row_id, right_row_id,
     b = align(right, spec, RIGHT, rules, rule.right_cols, right_row_id)
     by_lower = {v.lower(): v for v in (*a.values, *b.values)}
     cells = [f"rc_{i}" for i in range(len(rule.right_cols))]
-    clean = mapping.select(
+    clean = materialise(mapping.select(
         normalise_mapping_value("left_val", spec.options).alias(OWNER),
         *[normalise_mapping_value(c, spec.options).alias(c) for c in cells],
-    ).distinct()
+    ).distinct(), "mapping")
     small = fits_broadcast(mapping)
     large_left = is_large(a.frame, a.join_keys, min_bytes)
     large_right = is_large(b.frame, b.join_keys, min_bytes)
@@ -76,7 +76,7 @@ def _prepare(left, right, spec, rule, mapping, rules, left_row_id, right_row_id,
     left_rows = a.frame.select(
         ROW_ID, *map(named, a.join_keys), owner.alias(OWNER), a.payload().alias(LEFT)
     )
-    owners = clean.where(F.col(OWNER).isNotNull()).select(OWNER).distinct()
+    owners = materialise(clean.where(F.col(OWNER).isNotNull()).select(OWNER).distinct(), "mapping-owners")
     left_rows = flag_members(left_rows, owners, [OWNER], MAPPED, small, large_left)
     right_cells = [
         named(by_lower[f"{RIGHT}_{c}".lower()]).alias(cell)
@@ -86,7 +86,7 @@ def _prepare(left, right, spec, rule, mapping, rules, left_row_id, right_row_id,
         ROW_ID, *map(named, b.join_keys), *right_cells, b.payload().alias(RIGHT)
     )
     whole = clean.where(" AND ".join(f"{c} IS NOT NULL" for c in cells))
-    tuples = whole.select(*cells).distinct()
+    tuples = materialise(whole.select(*cells).distinct(), "mapping-tuples")
     right_rows = flag_members(right_rows, tuples, cells, MAPPED, small, large_right)
     return _Parts(
         left_rows, right_rows, whole, a, b, a.join_keys, cells, small, large_left, large_right
