@@ -84,9 +84,9 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(32))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, label: str) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    least = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), f"{label}-large")
     return (
         both.join(least, "a")
         .where("b > a AND b > m")
@@ -94,8 +94,9 @@ def _large_star(edges: DataFrame) -> DataFrame:
     )
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+def _small_star(edges: DataFrame, label: str) -> DataFrame:
+    edges = materialise(edges, f"{label}-grown")
+    least = materialise(edges.groupBy("a").agg(F.min("b").alias("m")), f"{label}-small")
     return (
         edges.join(least, "a")
         .select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
@@ -109,8 +110,8 @@ def components(edges: DataFrame, label: str) -> DataFrame:
 
     Large-star links every greater neighbour of a node to the least one, small-star every smaller
     one; repeated until nothing changes, each node hangs on the least id of its component. The
-    neighbourhood minimum is a pre-aggregated group and goes back by an equi join of which AQE
-    splits hot nodes, so a hub never lands in one task. Each round is a written table; only a count
+    neighbourhood minima are pre-aggregated and written, and go back by an equi join of two exchanges,
+    of which AQE splits hot nodes, so a hub never lands in one task. Each round is a written table; only a count
     and a checksum reach the driver. Links of a node with itself or with NULL are ignored.
     """
     edges = (
@@ -122,7 +123,7 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     edges = materialise(edges, f"{label}-links")
     seen = None
     while True:
-        edges = materialise(_small_star(_large_star(edges).distinct()).distinct(), f"{label}-stars")
+        edges = materialise(_small_star(_large_star(edges, label).distinct(), label).distinct(), f"{label}-stars")
         state = edges.agg(
             F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
         ).first()
