@@ -79,7 +79,8 @@ def best_paths(messages: DataFrame, top: int = 1) -> DataFrame:
     """(conv, rank, place, msg): the ``top`` root-to-leaf paths of each conversation by score.
 
     ``messages`` has (conv, msg, parent, score). Self-joins double the reach of every message per
-    round, so a thread of depth d takes log2(d) rounds: each learns its depth and the sum of scores up
+    round, so a thread of depth d takes log2(d) rounds, of which those that reached their root sit out
+    the rest: each learns its depth and the sum of scores up
     to its root. Leaves are ranked by that sum, then by depth, then by the smaller msg; the chosen ones
     are walked up over the same jumps. A parent that isn't there makes a root; messages that only hang
     on a cycle of parents have no path. Null scores count 0, a null msg is no message. All joins are on
@@ -101,11 +102,11 @@ def best_paths(messages: DataFrame, top: int = 1) -> DataFrame:
         last = jumps[-1]
         upper = last.select("c", F.col("msg").alias("up"), F.col("up").alias("top"), F.col("depth").alias("more"), F.col("total").alias("plus"))
         longer = materialise(
-            last.join(upper, ["c", "up"], "left").select(
+            last.where("up IS NOT NULL").join(upper, ["c", "up"], "left").select(
                 "c", "msg", F.col("top").alias("up"),
                 (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
                 (F.col("total") + F.coalesce("plus", F.lit(0.0))).alias("total"),
-            ),
+            ).union(last.where("up IS NULL").select("c", "msg", "up", "depth", "total")),
             "chat-jumps",
         )
         jumps.append(longer)
