@@ -209,6 +209,55 @@ def test_line_chunks_equal_brute_force(spark, edges):
     assert want[5] == LONG or want[5] == ""
 
 
+def test_no_long_run_of_earlier_lines_is_left(spark):
+    """Passages of one to eight lines; brute force over lines, without chunks or windows."""
+    rng = random.Random(12)
+    phrase = lambda tag, n: " ".join(f"{tag}{rng.randrange(10**6)}" for _ in range(n))
+    passages = [[phrase(f"p{i}x", rng.randrange(8, 49)) for _ in range(rng.randrange(1, 9))] for i in range(40)]
+    texts = {}
+    for doc in range(120):
+        body = []
+        for _ in range(rng.randrange(1, 4)):
+            body += [phrase("own", rng.randrange(1, 30)) for _ in range(rng.randrange(4))]
+            body += [x for x in rng.choice(passages) if x not in body]
+        texts[doc] = body
+    got = {r.doc_id: r for r in lines.dedup_lines(frame(spark, [(d, "\n".join(b), "en", "s", 0) for d, b in texts.items()])).collect()}
+    runs = 0
+    for doc, body in texts.items():
+        left = set(got[doc].text.split("\n"))
+        assert [x for x in body if x in left] == [x for x in got[doc].text.split("\n") if x]
+        earlier = {x for before in range(doc) for x in texts[before]}
+        assert all(x in left or x in earlier for x in body)
+        assert (got[doc].n_cut > 0) == (len(left & set(body)) < len(body))
+        for before in range(doc):
+            other = texts[before]
+            for a in range(len(body)):
+                for b in range(len(other)):
+                    n = 0
+                    while a + n < len(body) and b + n < len(other) and body[a + n] == other[b + n]:
+                        n += 1
+                    words = kept = most = 0
+                    for x in body[a : a + n]:
+                        words += len(x.split())
+                        kept = kept + len(x.split()) if x in left else 0
+                        most = max(most, kept)
+                    runs += words > 50
+                    assert most < 50, (doc, before, body[a : a + n])
+    assert runs > 100
+
+
+def test_windows_cover_runs_of_lines():
+    rng = random.Random(13)
+    for _ in range(200):
+        body = [" ".join(["w"] * rng.choice([0, 3, 20, 40])) + f" {i}" * (rng.random() < 0.8) for i in range(rng.randrange(1, 30))]
+        first, end, *_ = lines.line_windows(body)
+        at, to = sorted(rng.sample(range(len(body) + 1), 2))
+        solid = {i for i in range(at, to) if body[i].strip()}
+        inside = {i for f, e in zip(first, end) if at <= f and e <= to for i in range(f, e)}
+        enough = sum(len(x.split()) for x in body[at:to]) >= 50
+        assert solid <= inside if enough else not inside
+
+
 def test_line_chunks_of_nothing(empty):
     assert lines.dedup_lines(empty).count() == 0
 
