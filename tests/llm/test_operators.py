@@ -7,6 +7,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from check import TABLES, rows_by_name
@@ -510,6 +511,17 @@ def test_method_adds_spans_and_keeps_the_base(spark):
     assert all(got[200 + i].spans == "" for i in range(30))
 
 
+def test_neighbours_are_seen_in_long_texts():
+    """A local number beside an email of another kind, alone and after 300 numbers far away."""
+    passage = "mail jo@shop.example.com or 202-555-1234"
+    for before in ("", "".join(f"202-555-{1000 + i}" + " filler" * 60 for i in range(300))):
+        batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([before + passage])], names=["doc_id", "text"])
+        (found,) = next(pii._candidates([batch])).column(1).to_pylist()
+        assert [pii.unpattern(x["pattern"])[1][4] for x in found if x["start"] >= len(before)] == [1, 1]
+        assert len(found) == (302 if before else 2)
+        assert not any(pii.unpattern(x["pattern"])[1][4] for x in found if x["start"] < len(before))
+
+
 # 9: toxicity
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -110,11 +111,16 @@ def base_spans(text: str) -> list[Span]:
     return sorted((s for s, base in _loose(text) if base), key=lambda s: (s.start, s.kind))
 
 
+NEAR = 200
+"""Characters between two starts up to which the neighbours labeler sees them."""
+
+
 def votes(text: str, span: Span, base: bool, others: list[int]) -> tuple[int, ...]:
     """What the five labelers say of a span: 1 for, -1 against, 0 nothing.
 
     Pattern (with its checks), gazetteer (domains, card issuers, reserved addresses), context (cue
-    words before it), shape (glued to a longer token), neighbours (other spans close by).
+    words before it), shape (glued to a longer token), neighbours (other spans
+    close by, of any kind; ``others`` are all starts in the text, sorted).
     """
     body, kind = text[span.start : span.end], KINDS[span.kind]
     if kind == "email":
@@ -129,7 +135,9 @@ def votes(text: str, span: Span, base: bool, others: list[int]) -> tuple[int, ..
     context = 1 if any(w in CUES[kind] for w in words) else -1 if any(w in AGAINST for w in words) else 0
     beside = text[max(0, span.start - 1) : span.start] + text[span.end : span.end + 1]
     shape = -1 if any(c.isalnum() or c in "_=/" for c in beside) else 1
-    near = 1 if any(0 < abs(o - span.start) <= 200 for o in others) else 0
+    first, last = bisect_left(others, span.start - NEAR), bisect_right(others, span.start + NEAR)
+    same = bisect_right(others, span.start) - bisect_left(others, span.start)
+    near = 1 if last - first > same else 0
     return (1 if base else -1, listed, context, shape, near)
 
 
@@ -160,12 +168,12 @@ def _candidates(batches):
         for text in batch.column(1):
             body = text.as_py() or ""
             found = _loose(body)
-            starts = [s.start for s, _ in found]
+            starts = sorted(s.start for s, _ in found)
             rows.append([
                 {"kind": s.kind, "start": s.start, "end": s.end, "base": base, "pattern": pattern_of(
-                    s.kind, votes(body, s, base, starts if len(starts) < 200 else starts[max(0, i - 8) : i + 9]),
+                    s.kind, votes(body, s, base, starts),
                     len(_digits(body[s.start : s.end])))}
-                for i, (s, base) in enumerate(found)
+                for s, base in found
             ])
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(rows, type=pa.list_(_SPAN))], names=["doc_id", "found"]
