@@ -531,7 +531,7 @@ def test_toxicity_on_held_out_documents(spark):
     held = [(labels[r.doc_id], r.predicted) for r in got if r.held_out and r.doc_id in labels]
     right = sum(a == b for a, b in held)
     caught = sum(a and b for a, b in held)
-    assert right / len(held) > 0.975 and caught / sum(a for a, _ in held) > 0.85
+    assert right / len(held) > 0.98 and caught / sum(a for a, _ in held) > 0.9
     assert all(0 <= r.score <= 1 for r in got)
 
 
@@ -565,6 +565,26 @@ def test_toxicity_of_edges(spark, edges, empty):
     assert toxicity.toxicity(empty, some).count() == 0
 
 
+def test_few_toxic_labels_teach(spark):
+    """Telling words in fewer than five toxic rows, and toxic rows rarer than the sample reaches by chance."""
+    docs = [(i, f"tree house river{i}" if i % 20 else f"vile scum stone{i}", "en", "s", 0) for i in range(1, 65)]
+    labels = [(d[0], int(not d[0] % 20)) for d in docs]
+    probe = frame(spark, [(1, "scum and vile", "en", "s", 0), (2, "tree and house", "en", "s", 0)])
+    for more in (0, 400):
+        docs_ = frame(spark, docs + [(1000 + i, f"tree cloud{i} house", "en", "s", 0) for i in range(more)])
+        labels_ = spark.createDataFrame(labels + [(1000 + i, 0) for i in range(more)], "doc_id long, toxic int")
+        model = toxicity.train(docs_, labels_, toxicity.ToxicitySpec(labelled_rows=40) if more else toxicity.ToxicitySpec())
+        bad, good = (r.score for r in toxicity.toxicity_scores(probe, model).orderBy("doc_id").collect())
+        assert bad >= 0.5 > good
+
+
+def test_small_labelled_tables_find_toxic_documents(spark):
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
+    got = LLM_QUERIES["op9_toxicity"](spark, SMALL).where("predicted = 1").collect()
+    assert sum(labels.get(r.doc_id) == 1 for r in got) > 0.9 * sum(v == 1 for v in labels.values())
+    assert not [r for r in got if labels.get(r.doc_id) == 0]
+
+
 # 10: mixing
 
 

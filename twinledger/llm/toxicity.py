@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinledger.llm.common import WORD_CACHE, map_batches, pick
-from twinledger.llm.linear import Rows, fit, sigmoid, significant
+from twinledger.llm.linear import Rows, evidence, fit, sigmoid
 
 #: Words that name a group, by kind and language; a term is swapped within its row.
 IDENTITY_TERMS = (
@@ -33,7 +33,10 @@ _WORD = re.compile(r"\w+")
 
 @dataclass(frozen=True)
 class ToxicitySpec:
-    """``labelled_rows`` bounds the labelled documents a model is fitted on (chosen by hash)."""
+    """``labelled_rows`` bounds the labelled documents a model is fitted on (toxic and others up to half
+    of it each, more if there are fewer of the other, chosen by hash). A feature ``deviations`` or more
+    off the mean counts in full, others by the square of their part of that.
+    """
 
     labelled_rows: int = 12_000
     counterfactual: float = 10.0
@@ -86,14 +89,26 @@ def train(docs: DataFrame, labels: DataFrame, spec: ToxicitySpec = ToxicitySpec(
 
     Each sampled text with an identity term gets a twin in which the terms are swapped; the squared
     change of the logit is a penalty beside the loss, so the terms themselves end up with equal weights
-    and what is said about a group decides. Only features whose documents are toxic far more or less
-    often than the rest (``deviations``) get a weight, so a long text's many rare words stay silent.
+    and what is said about a group decides. Features are regularised by their evidence: the less their
+    documents' share of toxic ones is off the mean, the smaller their value, so a long text's many rare
+    words speak low, but those met in toxic documents only are heard from the first one on. Rare toxic
+    documents are all sampled; the rows' weights make up for that.
     """
-    sample = (
+    named = (
         pick(labels, "toxic", id="doc_id").where("id IS NOT NULL AND toxic IS NOT NULL")
         .groupBy("id").agg(F.max("toxic").cast("double").alias("label"))
-        .orderBy(F.xxhash64(F.lit(spec.seed), "id"), "id").limit(spec.labelled_rows)
     )
+    n = {bool(r["bad"]): r["count"] for r in named.groupBy((F.col("label") > 0.5).alias("bad")).count().collect()}
+    bad, rest = n.get(True, 0), n.get(False, 0)
+    half = spec.labelled_rows // 2
+    most = {True: min(bad, max(half, spec.labelled_rows - rest)), False: min(rest, max(half, spec.labelled_rows - bad))}
+    part = {kind: n.get(kind, 0) / max(1, most[kind]) for kind in most}
+    chosen = [
+        named.where((F.col("label") > 0.5) == F.lit(kind))
+        .orderBy(F.xxhash64(F.lit(spec.seed), "id"), "id").limit(most[kind])
+        for kind in most
+    ]
+    sample = chosen[0].union(chosen[1])
     rows = (
         pick(docs, "text", id="doc_id").join(F.broadcast(sample), "id")
         .select("text", "label").transform(map_batches, _extract, "features array<int>, twin array<int>, label double")
@@ -102,10 +117,11 @@ def train(docs: DataFrame, labels: DataFrame, spec: ToxicitySpec = ToxicitySpec(
     features = [np.asarray(x.values) for x in _lists(rows.column("features"))]
     twins = [(i, x.values.to_numpy()) for i, x in enumerate(_lists(rows.column("twin"))) if x.is_valid]
     labels_ = rows.column("label").to_numpy()
+    seen = evidence(features, labels_, FEATURES)
     return fit(
         Rows.of(features), labels_, FEATURES, 0.0, spec.l2, spec.steps,
-        weights=1 + (spec.toxic_weight - 1) * labels_,
-        active=significant(features, labels_, FEATURES, spec.deviations),
+        weights=(1 + (spec.toxic_weight - 1) * labels_) * np.where(labels_ > 0.5, part[True], part[False]),
+        active=seen > 0, scale=np.minimum(1.0, seen / spec.deviations) ** 2,
         twins=(np.array([i for i, _ in twins], dtype=np.int64), Rows.of([x for _, x in twins])),
         twin_penalty=spec.counterfactual,
     )
