@@ -578,6 +578,13 @@ def test_few_toxic_labels_teach(spark):
         assert bad >= 0.5 > good
 
 
+def test_repeated_rows_of_an_id_are_learnt_once(spark):
+    rows = [(i, f"{'scum' if i % 4 == 0 else 'tree'} house stone{i % 7}", "en", "s", 0) for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(60)], "doc_id long, toxic int")
+    weights = [toxicity.train(frame(spark, rows + rows[4:5] * more), labels)[0] for more in (0, 200)]
+    assert np.abs(weights[0] - weights[1]).max() < 1e-3
+
+
 def test_small_labelled_tables_find_toxic_documents(spark):
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
     got = LLM_QUERIES["op9_toxicity"](spark, SMALL).where("predicted = 1").collect()

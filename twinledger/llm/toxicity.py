@@ -92,7 +92,8 @@ def train(docs: DataFrame, labels: DataFrame, spec: ToxicitySpec = ToxicitySpec(
     and what is said about a group decides. Features are regularised by their evidence: the less their
     documents' share of toxic ones is off the mean, the smaller their value, so a long text's many rare
     words speak low, but those met in toxic documents only are heard from the first one on. Rare toxic
-    documents are all sampled; the rows' weights make up for that.
+    documents are all sampled; the rows' weights make up for that. Of a repeated id one text, the least,
+    is learnt from.
     """
     named = (
         pick(labels, "toxic", id="doc_id").where("id IS NOT NULL AND toxic IS NOT NULL")
@@ -111,6 +112,7 @@ def train(docs: DataFrame, labels: DataFrame, spec: ToxicitySpec = ToxicitySpec(
     sample = chosen[0].union(chosen[1])
     rows = (
         pick(docs, "text", id="doc_id").join(F.broadcast(sample), "id")
+        .groupBy("id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
         .select("text", "label").transform(map_batches, _extract, "features array<int>, twin array<int>, label double")
         .toArrow()
     )
