@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from twinledger.llm import chat, decontaminate, mixing
+from twinledger.llm import chat, collocations, decontaminate, mixing, negatives
 from twinledger.llm.common import table
 from twinledger.llm.lines import dedup_lines
 from twinledger.llm.minhash import NearDuplicates, near_duplicates
+from twinledger.llm.packing import pack
 from twinledger.llm.pii import personal_data
 from twinledger.llm.tokens import apply_edits, count_tokens, hashed_edits, read_vocabulary
 from twinledger.llm.toxicity import toxicity
@@ -106,3 +108,30 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_ORACLES["op10_mixing"] = mixing.oracle(MIX)
+
+
+@query
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of 1,024 tokens; each piece with the checksum of its ids."""
+    return pack(table(spark, sf_dir, "documents")).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whose id is divisible by 50 against all others."""
+    moved = negatives.moved_labels(table(spark, sf_dir, "embeddings"))
+    return negatives.hard_negatives(moved, F.col("vec_id") % 50 == 0)
+
+
+LLM_ORACLES["op12_hard_negatives"] = negatives.ORACLE
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases of two and three words seen ten times."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+LLM_ORACLES["op13_collocations"] = collocations.ORACLE
