@@ -93,12 +93,21 @@ class Encoder:
         return self.exact.encode(text, add_special_tokens=False).ids
 
 
+def planes(ids: np.ndarray) -> bytes:
+    """Ids as all their lower halves, then all their upper ones, which compress to nothing."""
+    return ids.astype("<u4").view("<u2").reshape(-1, 2).T.tobytes()
+
+
+def from_planes(stored) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(stored, dtype="<u2").reshape(2, -1).T).view("<u4").ravel()
+
+
 def _encode(definition: str, end_id: int):
     def run(batches):
         encoder = Encoder(definition)
         for batch in batches:
             ids = [
-                np.array([*encoder(text or ""), end_id], dtype="<u4").tobytes() for text in batch.column(2).to_pylist()
+                planes(np.array([*encoder(text or ""), end_id])) for text in batch.column(2).to_pylist()
             ]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([len(b) // 4 for b in ids], pa.int64()), pa.array(ids, pa.binary())],
@@ -109,7 +118,7 @@ def _encode(definition: str, end_id: int):
 
 
 def tokenised(docs: DataFrame, spec: Packing = Packing()) -> DataFrame:
-    """(row, doc_id, doc_tokens, ids) of every row, written once; ids are little-endian 32-bit integers."""
+    """(row, doc_id, doc_tokens, ids) of every row, written once; the ids as ``planes``."""
     spark = docs.sparkSession
     base = pick(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     kind = dict(base.dtypes)["doc_id"]
@@ -246,8 +255,8 @@ def _cut(names):
             cut, seen, ids = [], None, None
             for at, start, length in zip(parent.to_numpy().tolist(), starts.tolist(), lengths.tolist()):
                 if at != seen:
-                    seen, ids = at, memoryview(texts[at].as_buffer())
-                cut.append(bytes(ids[4 * start : 4 * (start + length)]))
+                    seen, ids = at, from_planes(texts[at].as_buffer())
+                cut.append(ids[start : start + length].tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(parent), pieces[0], pieces[1], batch.column(1).take(parent),
                  pieces[2], pieces[3], pa.array(cut, pa.binary())], names=names,
@@ -259,6 +268,7 @@ def _cut(names):
 def pack(docs: DataFrame, spec: Packing = Packing()) -> DataFrame:
     """Pieces: (doc_id, start, length, doc_tokens, sequence_id, offset, ids) of every document.
 
+    ``ids`` are little-endian 32-bit integers.
     Each token lies in exactly one piece; offsets in a sequence are gapless from 0. A sequence holds
     ``capacity`` tokens, or a lesser power of two of which each group has one per size at most, so
     none needs padding. ``sequence_id`` is the group's number times 2^32 plus a number in the group.
