@@ -14,7 +14,6 @@ from twinledger.operators.comparison import Comparison
 from twinledger.operators.expansion import compare_expanded
 from twinledger.operators.keyed import compare_keyed
 from twinledger.operators.one_to_many import compare_one_to_many
-from twinledger.operators.rownum import number_in_scan_order
 from twinledger.operators.roworder import compare_row_order
 from twinledger.plans.spec import (
     CompareSpec,
@@ -25,7 +24,7 @@ from twinledger.plans.spec import (
 )
 from twinledger.session import materialise
 from twinledger.sources import sinks
-from twinledger.sources.load import load_source
+from twinledger.sources.load import load_numbered
 
 ROW_NUMBER = "_source_row"
 
@@ -103,7 +102,7 @@ def compare(
 
 def _land(spark: SparkSession, source: SourceSpec) -> DataFrame:
     """A source with row numbers. All but plain parquet is read once, written and numbered there."""
-    return number_in_scan_order(load_source(spark, source), ROW_NUMBER)
+    return load_numbered(spark, source, ROW_NUMBER)
 
 
 def run_compare(

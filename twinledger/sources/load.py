@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import csv
 import os.path
 import re
 
@@ -10,13 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinledger.operators.align import named
+from twinledger.operators.rownum import number_in_scan_order
 from twinledger.plans.spec import SourceSpec
-from twinledger.session import broadcast_if_small
+from twinledger.session import materialise
+from twinledger.sources.delimited import read_quoted_csv, vote_separator
 from twinledger.sources.jdbc import read_jdbc
 
-# Separators that are sniffed, encodings spelled as Java knows them, and the
-# texts a spreadsheet-style CSV reader takes for missing.
-SEPARATORS = ",;\t|"
+READ_PLACE = "_read_place"
+
+# Encodings spelled as Java knows them, and file extensions.
 ENCODINGS = {
     "utf": "UTF-8",
     "utf8": "UTF-8",
@@ -55,80 +56,70 @@ def encoding_name(encoding: str) -> str:
     return ENCODINGS.get(encoding.lower().replace("-", "").replace("_", ""), encoding)
 
 
-def detect_separator(spark: SparkSession, path: str, encoding: str = "utf-8") -> str:
-    """Guess the separator from the first lines; a comma when in doubt."""
-    lines = (
-        spark.read.option("encoding", encoding_name(encoding)).text(path).limit(50).collect()
-    )
-    try:
-        sample = "\n".join(row.value for row in lines)[:8192]
-        return csv.Sniffer().sniff(sample, delimiters=SEPARATORS).delimiter
-    except csv.Error:
-        return ","
+def detect_separator(spark: SparkSession, path: str) -> str:
+    """The separator by vote over all lines of all files; a comma when in doubt."""
+    return vote_separator(spark, path)
 
 
 def read_csv(spark: SparkSession, source: SourceSpec) -> DataFrame:
-    """Delimited text, every column a string. ``multi_line`` allows line breaks inside quotes
-    at the price of one task per file."""
-    reader = (
-        spark.read.option("sep", source.csv_separator)
-        .option("encoding", encoding_name(source.csv_encoding))
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", source.multi_line)
-        .option("inferSchema", False)
-    )
-    if source.skip_rows:
-        df = _skip_leading(spark, reader, source)
+    """Delimited text, every column a string. ``multi_line`` allows line breaks inside quotes; such files
+    are split as well. Only character sets that don't hold ASCII as it is need one task per file then."""
+    charset = encoding_name(source.csv_encoding)
+    if _read_in_splits(source):
+        df = _read_numbered(spark, source).drop(READ_PLACE)
     else:
-        df = reader.option("header", source.has_header).csv(source.file_path)
+        df = (
+            spark.read.option("sep", source.csv_separator).option("encoding", charset)
+            .option("quote", '"').option("escape", '"').option("multiLine", source.multi_line)
+            .option("inferSchema", False).option("header", source.has_header).csv(source.file_path)
+        )
         if not source.has_header:
             df = df.toDF(*[f"col_{i}" for i in range(len(df.columns))])
-    return null_tokens(df, source.null_tokens)
+    return null_tokens(sanitize_columns(df), source.null_tokens)
+
 
+def _holds_ascii(charset: str) -> bool:
+    try:
+        return '",;\n'.encode(charset) == b'",;\n'
+    except LookupError:
+        return False
 
-def _skip_leading(spark: SparkSession, reader, source: SourceSpec) -> DataFrame:
-    """Drop the first rows of every file (and its header) by position within the first split.
 
-    The first row that is kept, a header or not, is looked at once for the column count.
-    """
-    encoding = encoding_name(source.csv_encoding)
-    head = spark.read.option("encoding", encoding).text(source.file_path)
-    lines = [row.value for row in head.limit(source.skip_rows + 1).collect()]
-    fields = next(csv.reader(lines[source.skip_rows :], delimiter=source.csv_separator), ["_dummy"])
-    titles = fields if source.has_header else [f"col_{i}" for i in range(len(fields))]
-    lead = sum(1 for line in lines[: source.skip_rows] if line.strip())
-    lead += 1 if source.has_header else 0
-    names = [f"_c{i}" for i in range(len(fields))]
-    schema = ", ".join(f"{n} string" for n in names)
-    placed = reader.option("header", False).schema(schema).csv(source.file_path).select(
-        *names,
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_at"),
+def _read_in_splits(source: SourceSpec) -> bool:
+    return source.skip_rows > 0 or source.multi_line and _holds_ascii(encoding_name(source.csv_encoding))
+
+
+def _read_numbered(spark: SparkSession, source: SourceSpec) -> DataFrame:
+    charset = encoding_name(source.csv_encoding)
+    if not _holds_ascii(charset):
+        raise ValueError(f"rows of {charset} text can't be skipped")
+    return read_quoted_csv(
+        spark, source.file_path, source.csv_separator, charset,
+        source.has_header, source.skip_rows, source.multi_line, READ_PLACE,
     )
-    starts = placed.where("_block = 0").groupBy("_file").agg(F.min("_at").alias("_start"))
-    in_lead = (F.col("_block") == 0) & (F.col("_at") - F.col("_start") < lead)
-    kept = placed.join(broadcast_if_small(starts), "_file").where(~in_lead)
-    return kept.select(*names).toDF(*titles)
 
 
-def null_tokens(df: DataFrame, tokens: tuple[str, ...]) -> DataFrame:
-    """Turn the given texts into NULL in every column."""
+def null_tokens(df: DataFrame, tokens: tuple[str, ...], but: str | None = None) -> DataFrame:
+    """Turn the given texts into NULL in every column but one."""
     if not tokens:
         return df
     return df.select(*[
-        F.when(~named(c).isin(*tokens), named(c)).alias(c) for c in df.columns
+        named(c) if c == but else F.when(~named(c).isin(*tokens), named(c)).alias(c) for c in df.columns
     ])
 
 
+def source_kind(source: SourceSpec) -> str:
+    return source.source_type or EXTENSIONS.get(os.path.splitext(source.file_path)[1].lower(), "")
+
+
 def load_source(spark: SparkSession, source: SourceSpec) -> DataFrame:
     """Any source on either side, with safe column names.
 
     The kind comes from ``source_type`` or, for files, from the extension. Typed sources stay
-    typed; the compare casts them to text itself.
+    typed; the compare casts them to text itself. Rows of delimited text come in no fixed order; see
+    ``load_numbered``.
     """
-    kind = source.source_type or EXTENSIONS.get(os.path.splitext(source.file_path)[1].lower(), "")
+    kind = source_kind(source)
     if kind == "csv":
         df = read_csv(spark, source)
     elif kind in ("parquet", "orc", "json"):
@@ -144,6 +135,19 @@ def load_source(spark: SparkSession, source: SourceSpec) -> DataFrame:
     return sanitize_columns(df)
 
 
+def load_numbered(spark: SparkSession, source: SourceSpec, name: str) -> DataFrame:
+    """A source with row numbers in scan order.
+
+    Delimited text that is read in splits is numbered by its reader, by file and place, and written once;
+    other sources as ``number_in_scan_order`` does.
+    """
+    if source_kind(source) != "csv" or not _read_in_splits(source):
+        return number_in_scan_order(load_source(spark, source), name)
+    read = _read_numbered(spark, source)
+    names = sanitize_columns(read).columns[:-1]
+    return materialise(null_tokens(read.toDF(*names, name), source.null_tokens, but=name), "csv-rows")
+
+
 def preview(df: DataFrame, n_rows: int | None = 50) -> DataFrame:
     """The first rows in scan order, or all of them."""
     return df if n_rows is None else df.limit(n_rows)

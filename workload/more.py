@@ -145,18 +145,55 @@ def q_no_header(spark, d):
 ORACLES["scan_csv_no_header"] = "SELECT CAST(n_nationkey AS VARCHAR) AS col_0, n_name AS col_1 FROM nation"
 
 
+def _one_split_at(spark, nbytes: int):
+    """The session with another split size until the scan is planned."""
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(nbytes))
+    return lambda: spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@query("scan_csv_quoted_splits")
+def q_quoted_splits(spark, d):
+    """Few files of quoted line breaks, separators and quotes, each read in many tasks; numbered rows."""
+    path = scratch_path(spark, "quoted-splits")
+    rows = fx.table(spark, d, "orders").select(
+        F.col("o_orderkey").cast("string").alias("k"),
+        F.concat(F.lit("a "), "o_orderpriority", F.lit("\nb \"q\", "), F.col("o_custkey").cast("string"), F.lit("\n,\"\n")).alias("v"),
+    )
+    rows.repartitionByRange(2, F.col("k").cast("long")).sortWithinPartitions(F.col("k").cast("long")).write.option(
+        "header", True).option("escape", '"').option("ignoreTrailingWhiteSpace", False).csv(path)
+    restore = _one_split_at(spark, 1 << 18)
+    try:
+        numbered = load.load_numbered(spark, SourceSpec("csv", path), "n")
+    finally:
+        restore()
+    return numbered.select("n", "k", "v")
+
+
+ORACLES["scan_csv_quoted_splits"] = """
+SELECT row_number() OVER (ORDER BY o_orderkey) AS n, CAST(o_orderkey AS VARCHAR) AS k,
+       'a ' || o_orderpriority || chr(10) || 'b "q", ' || CAST(o_custkey AS VARCHAR) || chr(10) || ',"' || chr(10) AS v
+FROM orders"""
+
+
 @query("scan_csv_skip_rows")
 def q_skip_rows(spark, d):
-    """A title line above the header of each file."""
+    """Three lines above the header of each file, in every file other ones: blank, quoted, with separators."""
     path = scratch_path(spark, "skip-rows")
+    files = 6
     body = fx.table(spark, d, "orders").select(
-        F.concat_ws(";", "o_orderkey", "o_orderpriority").alias("value"), F.lit(1).alias("place")
+        F.concat_ws(";", "o_orderkey", "o_orderpriority").alias("value"),
+        F.pmod("o_orderkey", F.lit(files)).alias("file"), F.lit(4).alias("place"),
     )
-    top = spark.range(2).select(
-        F.when(F.col("id") == 0, "Report").otherwise("key;priority").alias("value"), (F.col("id") - 1).cast("int").alias("place")
+    titles = F.array(
+        F.when(F.col("id") % 2 == 0, "").otherwise('Report "of; day'), F.when(F.col("id") % 3 == 0, " ").otherwise("1;a"),
+        F.when(F.col("id") % 4 == 0, '"').otherwise(""), F.lit("key;priority"),
     )
-    top.union(body).repartition(1).sortWithinPartitions("place").select("value").write.text(path)
-    return load.load_source(spark, SourceSpec("csv", path, csv_separator=";", skip_rows=1, multi_line=False))
+    top = spark.range(files).select(F.posexplode(titles).alias("place", "value"), F.col("id").alias("file"))
+    lines = body.unionByName(top).repartition(files, "file").sortWithinPartitions("file", "place")
+    lines.select("value", "file").write.partitionBy("file").text(path)
+    folder = SourceSpec("csv", f"{path}/*", csv_separator=";", skip_rows=3)
+    return load.load_source(spark, folder)
 
 
 ORACLES["scan_csv_skip_rows"] = (
@@ -164,6 +201,24 @@ ORACLES["scan_csv_skip_rows"] = (
 )
 
 
+@query("separator_vote")
+def q_separator_vote(spark, d):
+    """Pages under misleading first lines: all lines vote, not the first ones; then the rows themselves."""
+    path = scratch_path(spark, "separator-vote")
+    pages = fx.table(spark, d, "documents").select(
+        F.concat_ws("|", "doc_id", "lang", "source", F.concat(F.lit('"a;b;c,'), "source", F.lit('"'))).alias("value"), F.lit(1).alias("place")
+    )
+    top = spark.range(60).select(F.lit("one;two;three;four;five|title|x|y").alias("value"), F.lit(0).alias("place"))
+    top.union(pages).repartitionByRange(3, "place").sortWithinPartitions("place").select("value").write.text(path)
+    separator = load.detect_separator(spark, path)
+    spec = SourceSpec("csv", path, csv_separator=separator, has_header=False)
+    return load.load_source(spark, spec).where("col_1 <> 'title'").select("col_0", "col_2", "col_3", F.lit(separator).alias("separator"))
+
+
+ORACLES["separator_vote"] = """
+SELECT CAST(doc_id AS VARCHAR) AS col_0, source AS col_2, 'a;b;c,' || source AS col_3, '|' AS separator FROM documents"""
+
+
 @query("scan_csv_null_tokens")
 def q_null_tokens(spark, d):
     """The texts that stand for nothing, as the named default choice of a stored spec."""
@@ -187,7 +242,7 @@ def q_empty_source(spark, d):
     region.limit(0).coalesce(1).write.option("header", True).csv(path)
     header = load.load_source(spark, SourceSpec("csv", path))
     spec = CompareSpec.of(keys=[("r_regionkey", "r_regionkey")], compare=[("r_name", "r_name")])
-    return compare_keyed(region, header, spec).results().drop(ROW_ID) if header.columns else region
+    return compare_keyed(region, header, spec).results().drop(ROW_ID)
 
 
 ORACLES["empty_source"] = f"""
