@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from test_operators import EDGES, frame
-from twinledger.llm import collocations, negatives, packing
+from twinledger.llm import collocations, lines, negatives, packing
 from twinledger.llm.queries import LLM_QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -263,3 +263,18 @@ def test_scores_beyond_64_bits(spark):
     n = 3_000_000_000
     df = spark.createDataFrame([(n, n + 1, n + 7)], "a long, l long, r long")
     assert df.select(collocations._cut_score("a", "l", "r", 1_000_000)).first()[0] == 10**6 * n * n // ((n + 1) * (n + 7))
+
+
+# --- line dedup: one doc_id with several texts ---------------------------------------------------
+
+
+def test_one_id_with_two_texts_loses_nothing_unique(spark):
+    shared = "\n".join(f"shared line {i} " + "w " * 30 for i in range(12))
+    unique = "\n".join(f"unique line {i} " + f"v{i} " * 30 for i in range(12))
+    rows = [(1, shared), (2, shared), (2, unique), (2, unique), (3, unique + "\nend"), (None, unique), (4, None)]
+    df = frame(spark, [(i, t, "en", "s", 1) for i, t in rows]).select("*", F.lit(1).alias("_cut_id_1"), F.lit(2).alias("_a"))
+    got = collections.Counter((r.doc_id, r.text, r.n_cut > 0) for r in lines.dedup_lines(df).collect())
+    assert got == {
+        (1, shared, False): 1, (2, "", True): 1, (2, unique, False): 2, (None, unique, False): 1, (4, None, False): 1,
+        (3, "end", True): 1,
+    }

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinledger.llm.common import map_batches, mixed, pick, sized_join
+from twinledger.operators.rownum import number_by
 from twinledger.session import materialise
 
 
@@ -334,6 +335,25 @@ def repeated_windows(docs: DataFrame, cuts: DataFrame, spec: LineChunks = LineCh
     )
 
 
+def _text_keys(keyed: DataFrame) -> DataFrame:
+    """``keyed`` (with doc_id and text in ``_cut_id`` and ``_cut_text``) with a number per document.
+
+    The number is doc_id as long as each stands for one text. Where one has several, every text of every
+    doc_id gets a number of its own, in order of doc_id, so that nothing found in one is cut from another.
+    """
+    own = [F.xxhash64("_cut_text"), F.xxhash64(F.lit(1), "_cut_text")]
+    texts = keyed.where("_cut_id IS NOT NULL AND _cut_text IS NOT NULL").select(
+        F.col("_cut_id").alias("_id"), own[0].alias("_a"), own[1].alias("_b")
+    )
+    several = texts.groupBy("_id").agg(F.min("_a").alias("least"), F.max("_a").alias("most")).where("least <> most")
+    if several.isEmpty():
+        return keyed
+    numbers = number_by(texts.distinct(), ["_id", "_a", "_b"], "_number")
+    met = (F.col("_cut_id") == F.col("_id")) & (own[0] == F.col("_a")) & (own[1] == F.col("_b"))
+    numbered = keyed.join(numbers, met, "left").drop("_cut_id", "_id", "_a", "_b")
+    return materialise(numbered.withColumnRenamed("_number", "_cut_id"), "line-documents")
+
+
 def dedup_lines(docs: DataFrame, spec: LineChunks = LineChunks()) -> DataFrame:
     """``docs`` (doc_id, text and any more columns) with ``text`` cut and ``n_cut`` chunks and runs of
     lines removed (a column n_cut of ``docs`` is replaced).
@@ -343,18 +363,20 @@ def dedup_lines(docs: DataFrame, spec: LineChunks = LineChunks()) -> DataFrame:
     document; fewer words of a passage may stay at its edges, where the chunks hold other lines too. The
     first occurrence, by doc_id and place, stays, and so does a run that adjoins it (one line over and
     over). Null texts, texts without a repeat and rows of a null doc_id
-    come back as they are, with n_cut 0; a text may be empty afterwards. Repeated rows of a doc_id are
-    one document and lose the same lines.
+    come back as they are, with n_cut 0; a text may be empty afterwards. Rows of one doc_id and one text
+    are one document and lose the same lines; rows of one doc_id with other texts are other documents.
     """
-    chunks = repeated_chunks(docs, spec)
+    own, text = _exact(docs, "doc_id"), _exact(docs, "text")
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    keyed = _text_keys(plain.withColumn("_cut_id", F.col(f"c{own}")).withColumn("_cut_text", F.col(f"c{text}")))
+    given = keyed.select(F.col("_cut_id").alias("doc_id"), F.col("_cut_text").alias("text"))
+    chunks = repeated_chunks(given, spec)
     cuts = materialise(
-        chunks.join(repeated_windows(docs, chunks, spec), "doc_id", "full")
+        chunks.join(repeated_windows(given, chunks, spec), "doc_id", "full")
         .select(F.col("doc_id").alias("_cut_id"), F.col("cuts").alias("_cuts"), F.col("windows").alias("_windows")),
         "line-cuts-all",
     )
-    own, text = _exact(docs, "doc_id"), _exact(docs, "text")
-    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    joined = sized_join(plain.withColumn("_cut_id", F.col(f"c{own}")), cuts, "_cut_id", "left")
+    joined = sized_join(keyed.drop("_cut_text"), cuts, "_cut_id", "left")
     touched = F.col("_cuts").isNotNull() | F.col("_windows").isNotNull()
     changed = _cutter(spec)(F.when(touched, F.col(f"c{text}")), F.col("_cuts"), F.col("_windows"))
     joined = joined.withColumn("_new", changed)
