@@ -102,7 +102,7 @@ def _compare_window(
     usable_keys = stack.where(F.col(SPREAD) == 0)
     heavy = heavy_keys(usable_keys, keys) if is_large(usable_keys, keys, min_bytes) else None
     if heavy is not None:
-        # three sampled rows of one key prove it ambiguous, so its rows need no company
+        # a heavy key has three rows at least, so it is ambiguous and its rows need no company
         own = F.when(from_left, scattered(LEFT)).otherwise(scattered(RIGHT))
         stack = flag_heavy(stack, heavy, keys).withColumn(
             SPREAD, F.when(F.col(HEAVY), own).otherwise(F.col(SPREAD))

@@ -1,7 +1,7 @@
 """Protection against keys that hold a large share of all rows.
 
-Heavy keys are found on a sample, so the list is bounded by construction and only steers
-where rows go: a key the sample misses takes the ordinary path with the same result.
+The list of heavy keys is bounded by construction and only steers where rows go: any other key takes
+the ordinary path with the same result.
 """
 
 from __future__ import annotations
@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 from twinledger.operators.align import ROW_ID, named
 from twinledger.session import estimated_bytes, materialise
 
-MIN_BYTES = 4 << 20
-"""Estimated key bytes from which heavy keys are looked for; below, a task holds all keys."""
+MIN_BYTES = 64 << 20
+"""Estimated key bytes from which heavy keys are looked for; below, one task could hold all rows."""
 
-SAMPLE_BYTES = 64 << 20
-MAX_HEAVY_KEYS = 10_000
-MIN_SAMPLE_HITS = 3
+MIN_HITS = 3
+"""Rows that prove a key ambiguous: one side must hold two of them."""
+
+MAX_TRACKED = 1 << 19
 MAX_SALTS = 256
 HEAVY = "_heavy"
 SALT = "_salt"
@@ -33,28 +34,36 @@ def is_large(frame: DataFrame, on: list[str], min_bytes: int | None = None) -> b
 
 
 def heavy_keys(frame: DataFrame, on: list[str]) -> DataFrame | None:
-    """Keys seen at least three times in a bounded sample, heaviest first, at most 10,000.
+    """Keys that hold more rows than an even task would: fewer than there are shuffle partitions.
 
-    Sampling is without replacement, so every listed key really occurs at least three times.
+    One pass keeps a bounded, mergeable summary of frequent key hashes (eight counters per partition,
+    combined before anything is shuffled) that misses no such key. What it names is counted exactly, so
+    no key below the mark is listed; in most tables it names none and that pass falls away.
     """
-    keys = frame.select(*map(named, on))
-    fraction = min(1.0, SAMPLE_BYTES / max(estimated_bytes(keys), 1))
+    spark = frame.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    usable = frame.where(reduce(and_, (named(c).isNotNull() for c in on))).select(
+        *map(named, on), F.xxhash64(*map(named, on)).alias("_hash")
+    )
+    listed = min(2 * partitions, MAX_TRACKED // 4)
+    summary = usable.agg(
+        F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(_hash, {listed}, {4 * listed})").alias("top")
+    ).first()
+    mark = max(MIN_HITS, -(-summary["n"] // partitions))
+    named_by_summary = [(found["item"],) for found in summary["top"] or [] if found["count"] >= mark]
+    if not named_by_summary:
+        return None
+    asked = F.broadcast(spark.createDataFrame(named_by_summary, "_hash long"))
     counted = (
-        keys.where(reduce(and_, (named(c).isNotNull() for c in on)))
-        .sample(withReplacement=False, fraction=fraction, seed=7)
-        .groupBy(*map(named, on))
-        .agg(F.count(F.lit(1)).alias("_hits"))
-        .where(F.col("_hits") >= MIN_SAMPLE_HITS)
-        .orderBy(F.desc("_hits"))
-        .limit(MAX_HEAVY_KEYS)
-        .drop("_hits")
+        usable.join(asked, "_hash").groupBy(*map(named, on)).agg(F.count(F.lit(1)).alias("_rows"))
+        .where(F.col("_rows") >= mark).drop("_rows")
     )
-    listed = materialise(counted, "heavy-keys")
-    return None if listed.isEmpty() else listed
+    heavy = materialise(counted, "heavy-keys")
+    return None if heavy.isEmpty() else heavy
 
 
 def flag_heavy(frame: DataFrame, heavy: DataFrame | None, on: list[str]) -> DataFrame:
-    """Add a boolean telling whether the row's key is heavy; the list is at most 10,000 rows."""
+    """Add a boolean telling whether the row's key is heavy; the list is shorter than the number of partitions."""
     if heavy is None:
         return frame.withColumn(HEAVY, F.lit(False))
     listed = F.broadcast(heavy.withColumn(HEAVY, F.lit(True)))

@@ -25,6 +25,7 @@ from twinledger.plans.spec import (
 from twinledger.session import materialise
 from twinledger.sources import sinks
 from twinledger.sources.load import load_numbered
+from twinledger.sources.store import ResultStore
 
 ROW_NUMBER = "_source_row"
 
@@ -69,6 +70,12 @@ class CompareResult:
         sinks.save_results(self.results, path)
         return sinks.load_results(self.comparison.frame.sparkSession, path)
 
+    def kept(self, path: str) -> ResultStore:
+        """Write the result as a new version of the store at ``path``, for pages that open few files."""
+        store = ResultStore(self.comparison.frame.sparkSession, path)
+        store.replace(self.results)
+        return store
+
     def landed(self) -> "CompareResult":
         """The same comparison read back from a written table, so reports do not redo it."""
         frame = materialise(self.comparison.frame, "comparison")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from twinledger.operators.align import ROW_ID, named
 from twinledger.operators.report import RESULT_COLUMNS, RESULT_ORDER, filter_results
+from twinledger.sources.store import RESULT_SCHEMA
 
 SHEET_ROWS = 1_048_575
 BYTE_ORDER_MARK = "﻿"
@@ -18,8 +19,8 @@ def save_results(results: DataFrame, path: str, mode: str = "overwrite") -> None
 
 
 def load_results(spark: SparkSession, path: str) -> DataFrame:
-    stored = spark.read.parquet(path)
-    return stored.select(*RESULT_COLUMNS, *[c for c in stored.columns if c not in RESULT_COLUMNS])
+    """A stored result; one that holds no rows has its columns all the same."""
+    return spark.read.schema(RESULT_SCHEMA).parquet(path).select(*RESULT_COLUMNS, "side")
 
 
 def clear_results(results: DataFrame, path: str) -> None:

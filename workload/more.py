@@ -15,9 +15,10 @@ from twinledger.plans.run import run_compare
 from twinledger.plans.spec import CompareOptions, CompareSpec, SourceSpec, TransformRule
 from twinledger.session import scratch_path
 from twinledger.sources import load
+from twinledger.sources.store import ResultStore
 from workload import fixtures as fx
 from workload import oracles as o
-from workload.queries import EVENTS, query
+from workload.queries import EVENTS, LINES, ORDERS, query
 
 ORACLES: dict[str, str] = {}
 
@@ -326,3 +327,85 @@ def q_thousands(spark, d):
 
 
 ORACLES["thousands_text"] = "SELECT c_custkey, format('{:,}', c_custkey * 12345 - 1000000) AS n FROM customer"
+
+
+# --- the versioned store -----------------------------------------------------------------------
+
+
+def _order_results(spark, d):
+    left, right = fx.frame(spark, d, fx.ORDERS_LEFT), fx.frame(spark, d, fx.ORDERS_RIGHT)
+    return compare_keyed(left, right, ORDERS, left_row_id="pos", right_row_id="pos").results()
+
+
+def _line_results(spark, d):
+    left, right = fx.frame(spark, d, fx.LINE_LEFT), fx.frame(spark, d, fx.LINE_RIGHT)
+    return compare_keyed(left, right, LINES).results()
+
+
+@query("result_store_appended")
+def q_store_appended(spark, d):
+    """Two results appended one after the other: the counts of each version, and all rows of the last."""
+    store = ResultStore(spark, scratch_path(spark, "store"), rows_per_file=5_000)
+    first = store.append(_order_results(spark, d))
+    second = store.append(_line_results(spark, d))
+    counts = [store.counts(v).select(F.lit(f"version {i + 1}").alias("what"), "status", "n_rows") for i, v in enumerate((first, second))]
+    rows = store.read().groupBy("status").agg(F.count(F.lit(1)).alias("n_rows"))
+    return counts[0].union(counts[1]).union(rows.select(F.lit("rows").alias("what"), "status", "n_rows"))
+
+
+_STATUS_LIST = "(SELECT unnest(['match', 'mismatch', 'missing_left', 'missing_right', 'duplicate_key']) AS status) s"
+ORACLES["result_store_appended"] = f"""
+WITH a AS (WITH {o.ORDER_CTES} SELECT status, count(*) AS n FROM res GROUP BY status),
+b AS (SELECT status, count(*) AS n FROM ({o.ORACLES["compare_keyed_composite"]}) q GROUP BY status),
+c AS (SELECT status, CAST(sum(n) AS BIGINT) AS n FROM (SELECT * FROM a UNION ALL SELECT * FROM b) q GROUP BY status)
+SELECT 'version 1' AS what, s.status, coalesce(n, 0) AS n_rows FROM {_STATUS_LIST} LEFT JOIN a USING (status)
+UNION ALL SELECT 'version 2', s.status, coalesce(n, 0) FROM {_STATUS_LIST} LEFT JOIN c USING (status)
+UNION ALL SELECT 'rows', status, n FROM c"""
+
+
+@query("result_store_cleared")
+def q_store_cleared(spark, d):
+    """A store that is cleared and written again: the empty version has its columns, older ones their rows."""
+    store = ResultStore(spark, scratch_path(spark, "store"))
+    full = store.append(_order_results(spark, d))
+    empty = store.clear()
+    store.append(_order_results(spark, d).where("status = 'mismatch'"))
+    now, then = store.read(), store.read(full)
+    return now.unionByName(store.read(empty)).join(then.select("row_id", "status"), ["row_id", "status"])
+
+
+ORACLES["result_store_cleared"] = f"WITH {o.ORDER_CTES} SELECT * FROM res WHERE status = 'mismatch'"
+
+
+@query("result_page_stored")
+def q_page_stored(spark, d):
+    """A deep page through the directory of a store: at most two files are opened, nothing is counted."""
+    store = ResultStore(spark, scratch_path(spark, "store"), rows_per_file=500)
+    store.append(_order_results(spark, d))
+    page = store.page(page=20, size=200)
+    if len(page.inputFiles()) > 2:
+        raise AssertionError(f"{len(page.inputFiles())} files opened for one page")
+    return page.drop("side")
+
+
+ORACLES["result_page_stored"] = o.ORACLES["result_page_deep"]
+
+
+@query("result_page_appended")
+def q_page_appended(spark, d):
+    """Pages of one status over two appended parts whose row numbers overlap, put together again."""
+    store = ResultStore(spark, scratch_path(spark, "store"), rows_per_file=700)
+    results = _order_results(spark, d)
+    store.append(results.where("row_id % 3 = 0"))
+    store.append(results.where("row_id % 3 <> 0"))
+    total = store.counts().where("status = 'mismatch'").first()["n_rows"]
+    size = -(-total // 3)
+    pages = [store.page(p, size, status="mismatch").select(F.lit(p).alias("page"), "row_id", "key_values") for p in (1, 2, 3)]
+    return pages[0].union(pages[1]).union(pages[2])
+
+
+ORACLES["result_page_appended"] = f"""
+WITH {o.ORDER_CTES}, kept AS (SELECT * FROM res WHERE status = 'mismatch'),
+n AS (SELECT row_id, key_values, row_number() OVER (ORDER BY row_id, status, key_values, left_data NULLS FIRST, right_data NULLS FIRST) AS nth,
+             count(*) OVER () AS total FROM kept)
+SELECT CAST((nth - 1) // ((total + 2) // 3) + 1 AS INTEGER) AS page, row_id, key_values FROM n"""
