@@ -122,7 +122,9 @@ def _splits(lines: DataFrame, skip_rows: int, has_header: bool) -> DataFrame:
     """
     last = [F.max_by(f"after_{way}", "line").alias(f"after_{way}") for way in (0, 1)]
     ends = lines.groupBy("file", "block").agg(
-        *last, *[F.max(f"record_{way}").alias(f"n_{way}") for way in (0, 1)], F.count(F.lit(1)).alias("n_lines")
+        *last, *[F.max(f"record_{way}").alias(f"n_{way}") for way in (0, 1)],
+        *[F.max((F.col(f"before_{way}") == 1) | (F.col(f"after_{way}") == 1)).alias(f"longer_{way}") for way in (0, 1)],
+        F.count(F.lit(1)).alias("n_lines"),
     )
     in_file = Window.partitionBy("file").orderBy("block")
     earlier = in_file.rowsBetween(Window.unboundedPreceding, -1)
@@ -144,42 +146,55 @@ def _splits(lines: DataFrame, skip_rows: int, has_header: bool) -> DataFrame:
     files = files.select(
         "file", F.coalesce(F.sum(rows).over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("rows_before")
     )
-    placed = known.select("file", "block", "state", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("records_before"))
+    placed = known.select(
+        "file", "block", "state", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("records_before"),
+        F.when(F.col("state") == 0, F.col("longer_0")).otherwise(F.col("longer_1")).alias("longer"),
+    )
     return materialise(placed.join(files, "file"), "csv-splits")
 
 
-def csv_records(
-    spark: SparkSession, path: str, separator: str, charset: str, has_header: bool, skip_rows: int, multi_line: bool
-) -> DataFrame:
+def csv_records(lines: DataFrame, splits: DataFrame, charset: str, has_header: bool, skip_rows: int, longer: bool) -> DataFrame:
     """(file, is_first, row, value): the text of every record that isn't blank, after the skipped lines.
 
     ``is_first`` marks the first one of each file; ``row`` numbers all rows (records but headers) by file
     and place. A record on one line stays where it is; only lines of longer records are brought together,
-    by their number. A quote that is never closed makes the rest of its file one record.
+    by their number, if there are any. A quote that is never closed makes the rest of its file one record.
     """
-    lines = scanned_lines(spark, path, separator, skip_rows, multi_line)
-    splits = _splits(lines, skip_rows, has_header)
-
     def known(name):
         return F.when(F.col("state") == 0, F.col(f"{name}_0")).otherwise(F.col(f"{name}_1"))
 
     in_file = F.col("records_before") + known("record")
     text = F.decode("value", charset)
-    placed = lines.join(broadcast_if_small(splits), ["file", "block"]).where(
+    placed = lines.join(broadcast_if_small(splits.drop("longer")), ["file", "block"]).where(
         (F.col("block") > 0) | (F.col("line") >= skip_rows)
     ).select(
         "file", "block", "line", text.alias("value"), (in_file == 1).alias("is_first"),
         (F.col("rows_before") + in_file - int(has_header)).alias("row"), known("before").alias("before"), known("after").alias("after"),
-    ).where((F.col("before") == 1) | (F.trim(F.regexp_replace("value", "\r$", "")) != ""))
+    ).where((F.col("before") == 1) | (F.trim(F.rtrim("value", F.lit("\r"))) != ""))
     whole = (F.col("before") == 0) & (F.col("after") == 0)
-    parts = F.array_sort(F.collect_list(F.struct("block", "line", "value")))
-    longer = placed.where(~whole).groupBy("file", "is_first", "row").agg(parts.alias("parts")).select(
-        "file", "is_first", "row", F.array_join(F.transform("parts", lambda p: p["value"]), "\n").alias("value")
-    )
-    records = placed.where(whole).select("file", "is_first", "row", "value").union(longer)
+    records = placed.where(whole).select("file", "is_first", "row", "value")
+    if longer:
+        parts = F.array_sort(F.collect_list(F.struct("block", "line", "value")))
+        records = records.union(
+            placed.where(~whole).groupBy("file", "is_first", "row").agg(parts.alias("parts")).select(
+                "file", "is_first", "row", F.array_join(F.transform("parts", lambda p: p["value"]), "\n").alias("value")
+            )
+        )
     return records.withColumn("value", F.regexp_replace("value", "\r$", ""))
 
 
+def _first_record(lines: DataFrame, records: DataFrame, file: str | None, charset: str, skip_rows: int) -> str | None:
+    """The text of the first record of a file, from the lines of its first split if it has one there."""
+    head = lines.where(
+        (F.col("file") == file) & (F.col("block") == 0) & (F.col("record_0") == 1) & (F.col("line") >= skip_rows)
+    ).select("line", F.decode("value", charset).alias("value"), "before_0").orderBy("line").collect()
+    head = [r["value"] for r in head if r["before_0"] == 1 or r["value"].strip()]
+    if not head:
+        found = records.where("is_first").orderBy("file").first()
+        return found["value"] if found else None
+    return re.sub("\r$", "", "\n".join(head))
+
+
 def read_quoted_csv(
     spark: SparkSession, path: str, separator: str, charset: str, has_header: bool = True, skip_rows: int = 0,
     multi_line: bool = True, number: str = "row",
@@ -189,9 +204,12 @@ def read_quoted_csv(
     The first record of every file is its header if there is one; names are those of the first file's,
     else ``col_0`` and so on. Lines end in LF or CR LF. The skipped rows are the first lines of each file.
     """
-    records = csv_records(spark, path, separator, charset, has_header, skip_rows, multi_line)
-    first = records.where("is_first").orderBy("file").first()
-    fields = next(csv.reader([first["value"]], delimiter=separator)) if first else ["_dummy"]
+    lines = scanned_lines(spark, path, separator, skip_rows, multi_line)
+    splits = _splits(lines, skip_rows, has_header)
+    figures = splits.agg(F.min("file").alias("file"), F.max("longer").alias("longer")).first()
+    records = csv_records(lines, splits, charset, has_header, skip_rows, bool(figures["longer"]))
+    first = _first_record(lines, records, figures["file"], charset, skip_rows)
+    fields = next(csv.reader([first], delimiter=separator)) if first else ["_dummy"]
     titles = fields if has_header else [f"col_{i}" for i in range(len(fields))]
     schema = ", ".join(f"_c{i} string" for i in range(len(fields)))
     options = {"sep": separator, "quote": '"', "escape": '"', "multiLine": "true", "mode": "PERMISSIVE"}
@@ -201,7 +219,7 @@ def read_quoted_csv(
 
 def _plain(line: Column) -> Column:
     """A line without its quoted parts."""
-    return F.regexp_replace(line, '"[^"]*"', "")
+    return F.when(F.contains(line, F.lit('"')), F.regexp_replace(line, '"[^"]*"', "")).otherwise(line)
 
 
 def vote_separator(spark: SparkSession, path: str) -> str:
