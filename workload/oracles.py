@@ -293,11 +293,15 @@ ORACLES["norm_text"] = "SELECT doc_id, " + ", ".join(
 
 
 def dated(expr: str, pattern: str) -> str:
-    return f"COALESCE(TRY(STRFTIME(TRY_CAST({expr} AS DATE), '{pattern}')), {expr})"
+    """A text that is a date is shown in the pattern, any other stays."""
+    day = f"TRY_CAST({expr} AS DATE)"
+    return f"CASE WHEN {day} IS NULL THEN {expr} ELSE strftime({day}, '{pattern}') END"
 
 
 def fixed(expr: str, places: int) -> str:
-    return f"COALESCE(TRY(PRINTF('%.{places}f', TRY_CAST({expr} AS DOUBLE))), {expr})"
+    """A text that is a number is shown with so many places, any other stays."""
+    number = f"TRY_CAST({expr} AS DOUBLE)"
+    return f"CASE WHEN {number} IS NULL THEN {expr} ELSE format('{{:.{places}f}}', {number}) END"
 
 
 LINE_COLUMNS = (
