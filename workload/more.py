@@ -11,14 +11,14 @@ from twinledger.operators.keyed import compare_keyed
 from twinledger.operators.rownum import number_in_scan_order
 from twinledger.operators.roworder import compare_row_order
 from twinledger.plans import history
-from twinledger.plans.run import run_compare
+from twinledger.plans.run import compare, run_compare
 from twinledger.plans.spec import CompareOptions, CompareSpec, SourceSpec, TransformRule
 from twinledger.session import scratch_path
 from twinledger.sources import load
 from twinledger.sources.store import ResultStore
 from workload import fixtures as fx
 from workload import oracles as o
-from workload.queries import EVENTS, LINES, ORDERS, query
+from workload.queries import CUSTOMERS, EVENTS, LINES, ORDERS, SEGMENTS, query
 
 ORACLES: dict[str, str] = {}
 
@@ -409,3 +409,24 @@ WITH {o.ORDER_CTES}, kept AS (SELECT * FROM res WHERE status = 'mismatch'),
 n AS (SELECT row_id, key_values, row_number() OVER (ORDER BY row_id, status, key_values, left_data NULLS FIRST, right_data NULLS FIRST) AS nth,
              count(*) OVER () AS total FROM kept)
 SELECT CAST((nth - 1) // ((total + 2) // 3) + 1 AS INTEGER) AS page, row_id, key_values FROM n"""
+
+
+# --- several fallback pairs of one row -----------------------------------------------------------
+
+CUST_RIGHT_MANY = fx.CUST_RIGHT + """
+UNION ALL
+SELECT -1 - c_custkey * 2, c_custkey, c_name, 'OTHER', 'Z1' FROM customer
+UNION ALL
+SELECT -2 - c_custkey * 2, c_custkey, lower(c_name), 'OTHER', NULL FROM customer"""
+
+
+@query("ge_fallback_many")
+def q_ge_fallback_many(spark, d):
+    """Unmapped rows that meet several rows no mapping names: every pair is reported."""
+    return compare(
+        fx.frame(spark, d, fx.CUST_LEFT), fx.frame(spark, d, CUST_RIGHT_MANY), CUSTOMERS,
+        expansions=[SEGMENTS], left_row_id="pos", right_row_id="pos",
+    ).results()
+
+
+ORACLES["ge_fallback_many"] = o.ORACLES["ge_compare"].replace(fx.CUST_RIGHT, CUST_RIGHT_MANY)
