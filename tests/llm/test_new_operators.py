@@ -14,8 +14,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from test_operators import EDGES, frame
 from twinledger.llm import collocations, lines, negatives, packing
+from twinledger.llm.minhash import near_duplicates
 from twinledger.llm.queries import LLM_QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -278,3 +280,29 @@ def test_one_id_with_two_texts_loses_nothing_unique(spark):
         (1, shared, False): 1, (2, "", True): 1, (2, unique, False): 2, (None, unique, False): 1, (4, None, False): 1,
         (3, "end", True): 1,
     }
+
+
+def test_near_copies_of_one_id_with_two_texts(spark):
+    """Row 5 stands twice, once near 1 and once near 7: each row has the component of its own text."""
+    base = [[f"{name}{i}" for i in range(80)] for name in "pq"]
+    rows = [(1, base[0]), (5, [*base[0], "end"]), (5, [*base[1], "end"]), (7, base[1])]
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df).collect())
+    assert got == [(1, 76, 1, True), (5, 77, 1, False), (5, 77, 5, True), (7, 76, 5, False)]
+
+
+def test_pipeline_stages_judge_rows(spark):
+    """One text of an id may go while the other stays, and rows without an id are judged as well."""
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").where("length(text) > 80").first().text
+    base = [[f"{name}{i}" for i in range(80)] for name in "pqr"]
+    rows = [
+        (1, base[0]), (5, [*base[0], "end"]), (5, base[1]), (7, [*base[1], "end"]),
+        (None, [*base[1], "close"]), (None, base[2]), (None, base[2]),
+    ]
+    rows = [(d, " ".join(w), "en", "s", 0) for d, w in rows]
+    df = spark.createDataFrame([*rows, (None, f"before {item} after", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.keep_one_of_near_copies(spark, df, SMALL)
+    texts = sorted((r.doc_id or -1, r.text.split()[0]) for r in kept.collect())
+    assert texts == [(-1, "before"), (-1, "r0"), (1, "p0"), (5, "q0")]
+    left = corpus_pipeline.drop_contaminated(spark, kept, SMALL)
+    assert sorted(r.text.split()[0] for r in left.collect()) == ["p0", "q0", "r0"]

@@ -68,7 +68,11 @@ _SIGNED = pa.schema([
     ("id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()),
     ("bands", pa.list_(pa.int64())), ("signature", pa.binary()),
 ])
-_SETS = pa.schema([("id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+_SETS = pa.schema([("id", pa.int64()), ("set_key", pa.binary()), ("shingles", pa.list_(pa.int64()))])
+
+
+def _set_key(shingles: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
 def _sign(spec: NearDuplicates):
@@ -90,7 +94,7 @@ def _sign(spec: NearDuplicates):
                 band = np.arange(spec.bands, dtype=np.uint64)
                 for column in least.astype(np.uint64).reshape(spec.bands, spec.rows).T:
                     band = mixed(band * np.uint64(0x9E3779B97F4A7C15) + column)
-                keys.append(xxhash.xxh3_128_digest(found.tobytes()))
+                keys.append(_set_key(found))
                 bands.append(band.view(np.int64))
                 signatures.append((least & np.uint32(255)).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
@@ -106,8 +110,9 @@ def _sets(spec: NearDuplicates):
         hashes = WordHashes()
         for batch in batches:
             found = [shingle_set(t.as_py() or "", spec.words, hashes).view(np.int64) for t in batch.column(1)]
+            keys = pa.array([_set_key(f) for f in found], type=pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(found, type=_SETS.field(1).type)], schema=_SETS
+                [batch.column(0), keys, pa.array(found, type=_SETS.field(2).type)], schema=_SETS
             )
 
     return run
@@ -170,7 +175,8 @@ def near_duplicates(docs: DataFrame, spec: NearDuplicates = NearDuplicates()) ->
     """(doc_id, n_shingles, component_id, kept) per row of ``docs`` (doc_id, text).
 
     1. One pass over the texts: set size, a 128-bit key of the set, minima and band keys. Equal sets
-       are one class from here on, however many copies there are.
+       are one numbered class from here on, however many copies there are; a document id that stands
+       for several texts is in as many classes.
     2. Classes that share a band key hang on the band's least id; the components of that are the
        candidate groups, and only their texts are read again for the full sets.
     3. In each group the most central class (the one whose bands are met most) is compared with all
@@ -186,16 +192,15 @@ def near_duplicates(docs: DataFrame, spec: NearDuplicates = NearDuplicates()) ->
     spark = docs.sparkSession
     schema = "id long, n_shingles long, set_key binary, bands array<long>, signature binary"
     signed = materialise(pick(docs, "doc_id", "text").transform(map_batches, _sign(spec), schema), "minhash")
+    usable = signed.where("set_key IS NOT NULL AND id IS NOT NULL")
     classes = materialise(
-        signed.where("set_key IS NOT NULL AND id IS NOT NULL")
-        .groupBy("set_key").agg(F.min("id").alias("rep")),
+        usable.groupBy("set_key").agg(F.min("id").alias("rep")).withColumn("cls", F.monotonically_increasing_id()),
         "minhash-classes",
     )
-    reps = (
-        signed.where("set_key IS NOT NULL AND id IS NOT NULL")
-        .join(classes.select(F.col("rep").alias("id"), "set_key"), ["id", "set_key"], "left_semi")
+    banded = (
+        usable.join(classes.withColumnRenamed("rep", "id"), ["id", "set_key"])
+        .select(F.col("cls").alias("id"), F.explode("bands").alias("band"))
     )
-    banded = reps.select("id", F.explode("bands").alias("band"))
     shared = materialise(
         banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).where("n > 1"),
         "minhash-bands",
@@ -209,13 +214,19 @@ def near_duplicates(docs: DataFrame, spec: NearDuplicates = NearDuplicates()) ->
     centres = members.groupBy("grp").agg(
         F.max(F.struct("met", (-F.col("id")).alias("id"))).alias("top"), F.count(F.lit(1)).alias("n")
     ).select("grp", (-F.col("top.id")).alias("centre"), "n")
-    members = materialise(members.join(centres, "grp").select("id", "grp", "centre", "n"), "minhash-centred")
+    members = materialise(
+        members.join(centres, "grp").select(F.col("id").alias("cls"), "grp", "centre", "n")
+        .join(classes.select("cls", F.col("rep").alias("id"), "set_key"), "cls"),
+        "minhash-centred",
+    )
 
     texts = sized_join(
         pick(docs, "text", id="doc_id"), members, "id", "left_semi"
-    ).transform(map_batches, _sets(spec), "id long, shingles array<long>")
+    ).transform(map_batches, _sets(spec), "id long, set_key binary, shingles array<long>")
     sets = materialise(
-        sized_join(texts, members, "id", "inner").dropDuplicates(["id"]), "minhash-sets"
+        sized_join(texts, members, ["id", "set_key"], "inner").dropDuplicates(["cls"])
+        .select(F.col("cls").alias("id"), "grp", "centre", "n", "set_key", "shingles"),
+        "minhash-sets",
     )
     hubs = sets.where("id = centre").select("centre", F.col("shingles").alias("hub"))
     judged = materialise(
@@ -227,7 +238,9 @@ def near_duplicates(docs: DataFrame, spec: NearDuplicates = NearDuplicates()) ->
     links = starred.union(_stray_links(spec, signed, sets, judged))
     found = materialise(components(links, "minhash"), "minhash-components")
 
-    reps_of = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select(
+    found = found.select(F.col("id").alias("cls"), F.col("component_id").alias("root"))
+    least = found.join(classes, "cls").groupBy("root").agg(F.min("rep").alias("component_id"))
+    reps_of = classes.join(found.join(least, "root").drop("root"), "cls", "left").select(
         "set_key", F.coalesce("component_id", "rep").alias("component_id")
     )
     return (
@@ -260,7 +273,8 @@ def _stray_links(spec, signed: DataFrame, sets: DataFrame, judged: DataFrame) ->
         .withColumn("stray", F.col("near").isNull() & (F.col("id") != F.col("centre")))
         .withColumn("part", F.when(F.col("stray"), F.col("id")).otherwise(F.col("centre")))
     )
-    rows = rows.join(signed.select("id", "signature").where("signature IS NOT NULL").dropDuplicates(["id"]), "id")
+    signatures = signed.select("set_key", "signature").where("set_key IS NOT NULL").dropDuplicates(["set_key"])
+    rows = rows.join(signatures, "set_key")
     columns = ["id", "grp", "shingles", "signature", "part"]
     spread = F.xxhash64("id")
     as_stray = rows.where("stray").select(
