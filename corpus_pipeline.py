@@ -1,10 +1,11 @@
 """The corpus pipeline: stages over ``documents``, each calling one operator of ``twinledger.llm``.
 
 Every stage takes (spark, docs, sf_dir) and works on all documents that its predecessor kept. Stages
-but the last return the columns of ``documents``; other columns are left behind. Rows of a null doc_id
-are judged by the classifier and scheduled like any other, but stages that decide by doc_id leave them
-as they are. Rows that share a doc_id are one document: they stay or go together. Null and empty texts
-pass every filter; without words there is nothing to schedule. An empty table gives an empty table.
+but the last return the columns of ``documents``; other columns are left behind. Every row is judged by
+its own text, whether its doc_id is null, its own or that of other rows too; of a group of near copies
+the row of the least doc_id stays (a null one only if no other has an id), of repeated rows one. Null and
+empty texts pass every filter; without words there is nothing to schedule. An empty table gives an empty
+table.
 """
 
 from __future__ import annotations
@@ -43,20 +44,36 @@ def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     )
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The documents with a unique ``row``, written so that every use sees the same numbers."""
+    return materialise(pick(docs, *COLUMNS).withColumn("row", F.monotonically_increasing_id()), "pipeline-rows")
+
+
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the least id of each group of near copies (five words, 0.8)."""
-    docs = pick(docs, *COLUMNS)
-    judged = near_duplicates(docs, NearDuplicates())
-    gone = materialise(judged.where("NOT kept").select("doc_id").distinct(), "near-copies")
-    return sized_join(docs, gone, "doc_id", "left_anti").select(*COLUMNS)
+    rows = _numbered(docs)
+    judged = materialise(
+        near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), NearDuplicates())
+        .select(F.col("doc_id").alias("row"), "component_id"),
+        "near-copies",
+    )
+    grouped = judged.join(
+        judged.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "component_id"
+    ).join(rows.select("row", "doc_id"), "row")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    stays = grouped.groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.row").alias("row"))
+    gone = materialise(grouped.select("row").join(stays, "row", "left_anti"), "near-copies-gone")
+    return sized_join(rows, gone, "row", "left_anti").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without an exact window of ten words of a benchmark item."""
-    docs = pick(docs, *COLUMNS)
-    rows, matches = benchmark_matches(docs, table(spark, sf_dir, "benchmark"))
-    hit = matches.where("kind = 'phrase'").select("row").distinct().join(rows, "row").select("doc_id").distinct()
-    return sized_join(docs, materialise(hit, "contaminated"), "doc_id", "left_anti").select(*COLUMNS)
+    rows = _numbered(docs)
+    numbers, matches = benchmark_matches(
+        rows.select(F.col("row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")
+    )
+    hit = matches.where("kind = 'phrase'").select("row").distinct().join(numbers, "row").select(F.col("doc_id").alias("row"))
+    return sized_join(rows, materialise(hit, "contaminated"), "row", "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
