@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from test_operators import EDGES, frame
-from twinledger.llm import collocations, lines, negatives, packing
+from twinledger.llm import collocations, lines, negatives, packing, vectors
 from twinledger.llm.minhash import near_duplicates
 from twinledger.llm.queries import LLM_QUERIES
 
@@ -306,3 +306,36 @@ def test_pipeline_stages_judge_rows(spark):
     assert texts == [(-1, "before"), (-1, "r0"), (1, "p0"), (5, "q0")]
     left = corpus_pipeline.drop_contaminated(spark, kept, SMALL)
     assert sorted(r.text.split()[0] for r in left.collect()) == ["p0", "q0", "r0"]
+
+
+def test_vector_links_of_extreme_components_and_shared_ids(spark):
+    rows = [
+        (1, [1e200, 1e200, 0.0], 0), (2, [1e200, 1.0001e200, 0.0], 0),
+        (3, [1e-200, 1e-201, 0.0], 1), (4, [1.0, 0.36, 0.0], 1), (5, [1e-310, 1.001e-311, 0.0], 1),
+        (6, [0.0, 0.0, 1.0], 2), (7, [0.0, 1.0, 0.0], 2), (7, [0.0, 0.1, 1.0], 2), (8, [0.0, 1.0, 0.01], 2),
+    ]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in vectors.vector_links(df).collect())
+    assert got == [
+        (1, 1, 1), (2, 1, 1), (3, 1, 3), (4, 0, 4), (5, 1, 3), (6, 1, 6), (7, 1, 6), (7, 1, 7), (8, 1, 7),
+    ]
+
+
+def test_planned_passes_find_pairs_far_from_the_origin():
+    """100,000 vectors of mean cosine 0.7: of planted pairs just above the threshold, 99 % are met."""
+    rng, spec, n, width = np.random.default_rng(3), vectors.VectorLinks(), 100_000, 64
+    rows = rng.standard_normal((n, width)) * np.sqrt(0.3 / width)
+    rows[:, 0] += np.sqrt(0.7)
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    other = rng.standard_normal((1000, width))
+    other -= (other * unit[:1000]).sum(axis=1, keepdims=True) * unit[:1000]
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    unit[-1000:] = 0.982 * unit[:1000] + np.sqrt(1 - 0.982**2) * other
+    mean = unit.mean(axis=0)
+    passes = int(spec.passes_for(np.array([n]), np.array([1 - mean @ mean]))[0])
+    met = np.zeros(1000, dtype=bool)
+    for number in range(passes):
+        place = np.empty(n, dtype=np.int64)
+        place[np.argsort(vectors.hash_bits(unit - mean, spec.seed, number + 1))] = np.arange(n)
+        met |= np.abs(place[:1000] - place[-1000:]) <= spec.window
+    assert 20 < passes < 60 and met.mean() >= 0.99
