@@ -61,6 +61,27 @@ def latest_states(states: DataFrame) -> DataFrame:
     return newest.select("id", *[F.col(f"s.{c}").alias(c) for c in columns])
 
 
+def compact_runs(spark: SparkSession, path: str, rows_per_file: int = 100_000) -> int:
+    """Merge the files of a ledger into few, sorted by creation and with the newest state of each run;
+    returns how many files were merged.
+
+    The merged files are committed beside the old ones before those go. Readers take the newest state of
+    a run, so the ledger reads alike before, between and after, also if the job ends half-way; states
+    appended meanwhile stay. A reader that listed the old files must list anew.
+    """
+    old = spark.read.schema(RUN_SCHEMA).parquet(path).inputFiles()
+    if not old:
+        return 0
+    newest = latest_states(spark.read.schema(RUN_SCHEMA).parquet(*old))
+    merged = newest.repartitionByRange("created_at", "id").sortWithinPartitions("created_at", "id")
+    merged.write.option("maxRecordsPerFile", rows_per_file).mode("append").parquet(path)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for name in old:
+        file = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(name))
+        file.getFileSystem(conf).delete(file, False)
+    return len(old)
+
+
 def duration_text(start: Column, end: Column) -> Column:
     """``9s``, ``1m 23s`` or ``2h 5m``."""
     micros = F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))

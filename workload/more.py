@@ -10,11 +10,13 @@ from twinledger.operators.align import ROW_ID
 from twinledger.operators.keyed import compare_keyed
 from twinledger.operators.rownum import number_in_scan_order
 from twinledger.operators.roworder import compare_row_order
+from twinledger.operators.search import search_indexed, write_key_index
 from twinledger.plans import history
 from twinledger.plans.run import compare, run_compare
 from twinledger.plans.spec import CompareOptions, CompareSpec, SourceSpec, TransformRule
 from twinledger.session import scratch_path
 from twinledger.sources import load
+from twinledger.sources.jdbc import equi_depth_predicates
 from twinledger.sources.store import ResultStore
 from workload import fixtures as fx
 from workload import oracles as o
@@ -430,3 +432,67 @@ def q_ge_fallback_many(spark, d):
 
 
 ORACLES["ge_fallback_many"] = o.ORACLES["ge_compare"].replace(fx.CUST_RIGHT, CUST_RIGHT_MANY)
+
+
+# --- key search by index, partition predicates, a compacted ledger -------------------------------
+
+
+@query("key_search_indexed")
+def q_key_search_indexed(spark, d):
+    """Three searches through one trigram index, each with the rows a scan finds."""
+    results = _order_results(spark, d)
+    index = write_key_index(results, scratch_path(spark, "key-index"))
+    found = [search_indexed(results, index, text).withColumn("search", F.lit(text)) for text in INDEX_SEARCHES]
+    return found[0].union(found[1]).union(found[2]).select("search", "row_id", "status", "key_values")
+
+
+INDEX_SEARCHES = ('"1_7%', "2_345", "%77")
+ORACLES["key_search_indexed"] = f"WITH {o.ORDER_CTES} " + " UNION ALL ".join(
+    f"SELECT '{text}' AS search, row_id, status, key_values FROM res WHERE key_values LIKE '%{text}%'"
+    for text in INDEX_SEARCHES
+)
+
+DATED_ORDERS = """
+SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 3 THEN NULL WHEN o_orderkey % 10 < 3 THEN DATE '1995-06-17'
+                        ELSE CAST(o_orderdate AS DATE) END AS placed,
+       CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_totalprice END AS price
+FROM orders"""
+
+
+@query("jdbc_partition_cover")
+def q_jdbc_partition_cover(spark, d):
+    """Planned read partitions over dates with a hot day and NULLs, and over prices: each row in one."""
+    rows = fx.frame(spark, d, DATED_ORDERS)
+    sums = []
+    for column in ("placed", "price"):
+        predicates = equi_depth_predicates(rows, column, 8, "`")
+        times = sum(F.coalesce(F.expr(p).cast("int"), F.lit(0)) for p in predicates)
+        sums.append(rows.groupBy(F.lit(column).alias("column_name"), times.alias("times")).agg(F.count(F.lit(1)).alias("n_rows")))
+    return sums[0].union(sums[1])
+
+
+ORACLES["jdbc_partition_cover"] = """
+SELECT column_name, 1 AS times, (SELECT count(*) FROM orders) AS n_rows
+FROM (SELECT unnest(['placed', 'price']) AS column_name)"""
+
+
+@query("run_history_compacted")
+def q_run_history_compacted(spark, d):
+    """A ledger of two states per run in many files, merged: the newest states, in at most two files."""
+    path = scratch_path(spark, "ledger")
+    shown = ["id", "name", "job_type", "status", "config", "result_summary", "error_message", "created_at", "updated_at"]
+    runs = fx.frame(spark, d, fx.RUNS).withColumns({"config": F.lit("{}"), "error_message": F.lit(None).cast("string")})
+    runs = runs.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("created_at", "updated_at")})
+    started = runs.withColumns({
+        "status": F.lit("processing"), "result_summary": F.lit(None).cast("string"), "updated_at": F.col("created_at") - F.expr("INTERVAL 1 SECOND"),
+    })
+    for part in (started, runs):
+        part.select(*shown).repartition(6, "id").write.mode("append").parquet(path)
+    history.compact_runs(spark, path)
+    files = spark.read.parquet(path).inputFiles()
+    if len(files) > 2:
+        raise AssertionError(f"{len(files)} files after compaction")
+    return history.run_history(history.read_runs(spark, path), status="completed", search="USER 1").drop("created_at", "updated_at")
+
+
+ORACLES["run_history_compacted"] = o.ORACLES["run_history"]
