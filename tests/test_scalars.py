@@ -81,6 +81,30 @@ def test_canonical_doubles_below_1e16(spark, db):
     assert ours == expected(db, values, "CAST(CAST(s AS DOUBLE) AS VARCHAR)")
 
 
+def any_doubles(rng):
+    """Random bit patterns, powers of two, decimals of all lengths, the ends of the range."""
+    values = [struct.unpack("d", struct.pack("Q", rng.getrandbits(64)))[0] for _ in range(800)]
+    values += [2.0**k for k in range(-1074, 1024, 3)]
+    values += [float(f"{rng.randint(1, 10 ** rng.randint(1, 17))}E{rng.randint(-320, 290)}") for _ in range(800)]
+    values += [5e-324, 1e-323, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308,
+               2e23, 8.41e21, 9e22, 1e16, 9.999e-5, 0.0, -0.0, 2.0**126]
+    return [v for v in values if v == v]
+
+
+def test_shortest_texts_of_any_double(spark):
+    values = any_doubles(random.Random(11))
+    ours = evaluate(spark, [repr(v) for v in values], bind("CAST(s AS DOUBLE)", "v", canonical_double("v")))
+    assert [o[0] for o in ours] == [repr(v) for v in values]
+
+
+def test_fixed_point_of_any_double(spark):
+    values = any_doubles(random.Random(12)) + [1e308, -1e308, 9e37, 1e38, 2.0**63, 2.0**1023]
+    ours = evaluate(
+        spark, [repr(v) for v in values], *[bind("CAST(s AS DOUBLE)", "v", fixed_point("v", p)) for p in (2, 0)]
+    )
+    assert ours == [(f"{v:.2f}", f"{v:.0f}") for v in values]
+
+
 @pytest.mark.parametrize("options", [
     CompareOptions(),
     CompareOptions(normalize_date=True, date_format="%d.%m.%Y"),

@@ -39,14 +39,104 @@ def _with_exponent(text: str) -> str:
     return f"concat({mantissa}, {sign}, {digits})"
 
 
+_LIMB = 10**9
+"""Exact values are held as limbs of nine digits, the lowest first."""
+
+_FIVES = "array(" + ", ".join(f"{5**k}L" for k in range(13)) + ")"
+
+
+def _times(limbs: str, factor: str) -> str:
+    """Limbs times a factor below one limb; the product of a limb and it fits 64 bits."""
+    step = (
+        f"named_struct('out', concat(ls.out, array(pmod(ld * ({factor}) + ls.carry, {_LIMB}L))), "
+        f"'carry', (ld * ({factor}) + ls.carry) div {_LIMB}L)"
+    )
+    end = "CASE WHEN ls.carry > 0 THEN concat(ls.out, array(ls.carry)) ELSE ls.out END"
+    start = "named_struct('out', CAST(array() AS ARRAY<BIGINT>), 'carry', 0L)"
+    return f"aggregate({limbs}, {start}, (ls, ld) -> {step}, ls -> {end})"
+
+
+def _exact_digits(x: str, body: str) -> str:
+    """``body`` over ``xd``: all digits of a positive finite double and the power of ten they are times.
+
+    The double is a 53-bit integer times a power of two, as its hexadecimal text tells. The integer
+    is multiplied up: by 2^e, or by 5^-e with 10^e left over.
+    """
+    mantissa = (
+        "CAST(conv(concat(substring(xh, 3, 1), "
+        "rpad(substring_index(substring_index(xh, 'p', 1), '.', -1), 13, '0')), 16, 10) AS BIGINT)"
+    )
+    power = "CAST(substring_index(xh, 'p', -1) AS INT) - 52"
+    split = f"named_struct('m', {mantissa}, 'e', {power})"
+    start = f"array(xb.m % {_LIMB}L, xb.m div {_LIMB}L)"
+    twos = _times("lx", "shiftleft(1L, least(29, xb.e - 29 * li))")
+    fives = _times("lx", f"element_at({_FIVES}, CAST(least(12, -xb.e - 12 * li) + 1 AS INT))")
+    limbs = (
+        f"CASE WHEN xb.e >= 0 THEN aggregate(sequence(0, xb.e div 29), {start}, (lx, li) -> {twos}) "
+        f"ELSE aggregate(sequence(0, -xb.e div 12), {start}, (lx, li) -> {fives}) END"
+    )
+    digits = (
+        f"ltrim('0', array_join(transform(reverse({limbs}), lz -> lpad(CAST(lz AS STRING), 9, '0')), ''))"
+    )
+    result = f"named_struct('digits', {digits}, 'power', least(xb.e, 0))"
+    return bind(f"format_string('%a', {x})", "xh", bind(split, "xb", bind(result, "xd", body)))
+
+
+def _shortest(x: str) -> str:
+    """Digits and exponent (of the first digit) of the shortest decimal that reads back as ``x > 0``.
+
+    For each number of digits the two decimals around the exact value are tried, the nearer one first.
+    """
+    padded = "concat(xd.digits, repeat('0', 18))"
+    rest = f"substring({padded}, sn + 1)"
+    above = f"({rest} > '5' AND rtrim('0', {rest}) <> '5')"
+    head = f"CAST(substring({padded}, 1, sn) AS BIGINT)"
+    pair = f"named_struct('near', {head} + int({above}), 'far', {head} + int(NOT {above}))"
+    scale = "'E', length(xd.digits) + xd.power - sn"
+    hit = (
+        f"CASE WHEN CAST(concat(sp.near, {scale}) AS DOUBLE) = {x} THEN sp.near "
+        f"WHEN CAST(concat(sp.far, {scale}) AS DOUBLE) = {x} THEN sp.far END"
+    )
+    found = bind(
+        bind(pair, "sp", hit), "sh",
+        "CASE WHEN sh IS NOT NULL THEN named_struct('digits', rtrim('0', CAST(sh AS STRING)), "
+        "'exponent', length(xd.digits) + xd.power - 1 + length(CAST(sh AS STRING)) - sn) END",
+    )
+    first = (
+        f"aggregate(sequence(1, 17), CAST(NULL AS STRUCT<digits: STRING, exponent: INT>), "
+        f"(sa, sn) -> CASE WHEN sa IS NULL THEN {found} ELSE sa END)"
+    )
+    return _exact_digits(x, first)
+
+
+def _scientific(x: str) -> str:
+    """``1.5e+16`` style of a positive finite double.
+
+    A text of the JVM of up to 15 digits is the only one so short for a normal number; longer ones
+    may have a digit too many or not be the nearest, and are sought from the exact value.
+    """
+    mantissa = (
+        "CASE WHEN length(ss.digits) > 1 THEN concat(substring(ss.digits, 1, 1), '.', substring(ss.digits, 2)) "
+        "ELSE ss.digits END"
+    )
+    power = "lpad(CAST(abs(ss.exponent) AS STRING), greatest(2, length(CAST(abs(ss.exponent) AS STRING))), '0')"
+    sought = f"concat({mantissa}, CASE WHEN ss.exponent < 0 THEN 'e-' ELSE 'e+' END, {power})"
+    text = f"CAST({x} AS STRING)"
+    return (
+        f"CASE WHEN {x} >= 2.2250738585072014E-308D AND length(substring_index({text}, 'E', 1)) <= 16 "
+        f"THEN {_with_exponent(text)} ELSE {bind(_shortest(x), 'ss', sought)} END"
+    )
+
+
 def canonical_double(x: str) -> str:
     """Shortest text of a double: plain from 1e-4 up to 1e16, otherwise ``1.5e+16`` style."""
     text, size = "CAST(cd AS STRING)", "abs(cd)"
+    sign = "CASE WHEN cd < 0 THEN '-' ELSE '' END"
     rare = (
-        f"coalesce({_not_finite('cd')}, CASE WHEN {size} >= 1e16D THEN {_with_exponent(text)} "
+        f"coalesce({_not_finite('cd')}, CASE WHEN {size} >= 1e16D OR {size} < 1e-4D "
+        f"THEN concat({sign}, {bind(size, 'ca', _scientific('ca'))}) "
         f"WHEN {size} >= 1e7D THEN {_without_exponent(text, 10)} "
-        f"WHEN {size} >= 1e-4D THEN {_without_exponent(text, 22)} "
-        f"ELSE {_with_exponent(text)} END)"
+        f"ELSE {_without_exponent(text, 22)} END)"
     )
     return (
         f"CASE WHEN {x} = 0 OR (abs({x}) >= 1e-3D AND abs({x}) < 1e7D) THEN CAST({x} AS STRING) "
@@ -96,14 +186,11 @@ def _exact(x: str, places: int) -> str:
     )
     part = f"CASE WHEN fm < {_TWO_53} THEN fm - CAST(fw AS DOUBLE) ELSE 0D END"
     rounded = bind(bind(bind(part, "fp", split), "fs", units), "fu", text)
-    high = f"floor(fm / {_TWO_63})"
-    low = f"try_cast(fm - CAST({high} AS DOUBLE) * {_TWO_63} AS BIGINT)"
-    whole = f"CAST({high} AS DECIMAL(19,0)) * CAST('{2**63}' AS DECIMAL(19,0)) + {low}"
     zeros = "." + "0" * places if places else ""
-    huge = f"concat(CAST(try_cast({whole} AS DECIMAL(38,0)) AS STRING), '{zeros}')"
+    whole_digits = f"concat(xd.digits, '{zeros}')"
     magnitude = (
         f"CASE WHEN fm < {_TWO_63} THEN {bind('floor(fm)', 'fw', rounded)} "
-        f"WHEN fm < 9e37D THEN {huge} ELSE format_string('%.{places}f', fm) END"
+        f"ELSE {_exact_digits('fm', whole_digits)} END"
     )
     sign = f"CASE WHEN startswith(CAST({x} AS STRING), '-') THEN '-' ELSE '' END"
     return f"coalesce({_not_finite(x)}, concat({sign}, {bind(f'abs({x})', 'fm', magnitude)}))"

@@ -496,3 +496,27 @@ def q_run_history_compacted(spark, d):
 
 
 ORACLES["run_history_compacted"] = o.ORACLES["run_history"]
+
+
+# --- doubles of any magnitude ---------------------------------------------------------------------
+
+WIDE_PRICES = """
+SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 1e-9 WHEN 1 THEN 1e14 WHEN 2 THEN 1e30 WHEN 3 THEN 1e-20
+                   ELSE -1e44 END * o_totalprice AS price
+FROM orders"""
+
+
+@query("norm_wide_numbers")
+def q_norm_wide_numbers(spark, d):
+    """Prices times powers of ten: the shortest text that reads back, and two exact places."""
+    prices = fx.frame(spark, d, WIDE_PRICES)
+    column = prices.schema["price"].dataType
+    shortest, rounded = CompareOptions(), CompareOptions(normalize_number=True)
+    return prices.select(
+        "o_orderkey", normalise("price", shortest, data_type=column).alias("shortest"),
+        normalise("price", rounded, data_type=column).alias("rounded")
+    )
+
+
+ORACLES["norm_wide_numbers"] = f"""
+SELECT o_orderkey, CAST(price AS VARCHAR) AS shortest, printf('%.2f', price) AS rounded FROM ({WIDE_PRICES}) t"""
