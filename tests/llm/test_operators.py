@@ -522,6 +522,64 @@ def test_neighbours_are_seen_in_long_texts():
         assert not any(pii.unpattern(x["pattern"])[1][4] for x in found if x["start"] < len(before))
 
 
+def brute_secrets(text: str) -> set[tuple[int, int]]:
+    return {m.span(1) for m in re.finditer(r'token = "([0-9a-f]{40})"', text)}
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_planted_secrets_are_found_at_every_size(spark, sf):
+    """Tokens are added spans, nearly all of them; no added span fails its checks or overlaps a base one."""
+    docs = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    planted = found = added = 0
+    for row in pii.personal_data(docs).collect():
+        text = texts[row.doc_id]
+        base = [(s.start, s.end) for s in pii.base_spans(text)]
+        spans = [x.split(":") for x in row.spans.split(",") if x]
+        spans = [(k, int(s), int(e)) for k, s, e in spans]
+        extra = [x for x in spans if x[1:] not in base]
+        secrets = brute_secrets(text)
+        planted += len(secrets)
+        found += len(secrets & {(s, e) for k, s, e in extra if k == "secret"})
+        added += len(extra)
+        for kind, start, end in extra:
+            assert not any(s < end and start < e for s, e in base)
+            assert kind != "card" or pii.luhn(re.sub("[^0-9]", "", text[start:end]))
+            assert kind != "iban" or pii.valid_iban(text[start:end])
+    assert planted >= (10 if sf == "0.01" else 100)
+    assert found >= 0.95 * planted and added <= 1.2 * planted + 5
+
+
+def test_added_spans_keep_their_verdict_in_larger_tables(spark):
+    """The same rows judged among ten times as many others of their kind."""
+    def rows(n):
+        kept = [f'my api token = "{i:040x}" for the phone (202) 555-{1000 + i}' for i in range(0x9A0, 0x9C0)]
+        other = [f"commit {hashlib.sha1(str(i).encode()).hexdigest()} of path" for i in range(n)]
+        other += [f"call +1 (202) 555-{1000 + i} or mail jo{i}@shop.example.com" for i in range(n)]
+        return [(i, t, "en", "s", 0) for i, t in enumerate(kept + other)]
+
+    few, many = (
+        {r.doc_id: r.spans for r in pii.personal_data(frame(spark, rows(n))).where("doc_id < 32").collect()} for n in (60, 600)
+    )
+    assert few == many
+
+
+def test_account_numbers_and_their_check_digits():
+    assert pii.valid_iban("DE89 3704 0044 0532 0130 00") and not pii.valid_iban("DE88 3704 0044 0532 0130 00")
+    found = pii._loose("bank iban DE89 3704 0044 0532 0130 00, DE88 3704 0044 0532 0130 00")
+    assert [s.start for s, base in found if s.kind == 4] == [10] and not any(base for s, base in found if s.kind == 4)
+
+
+def test_labelers_are_never_worse_than_chance():
+    """A vote for never lowers the probability, however the counts lie."""
+    for flip in (1, 50, 100_000):
+        patterns = {pii.pattern_of(3, (0, 0, c, s, 0), 10): n for (c, s), n in zip(
+            ((-1, -1), (-1, 1), (1, -1), (1, 1)), (5, flip, flip, 7))}
+        truth = pii.reliabilities(patterns)
+        at = [truth[pii.pattern_of(3, (0, 0, c, 1, 0), 10)] for c in (-1, 1)]
+        assert at[0] <= at[1]
+
+
 # 9: toxicity
 
 
