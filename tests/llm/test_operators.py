@@ -680,6 +680,14 @@ def test_mixing_equals_a_plain_version(spark):
             place += r.n_tokens
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_rows_of_one_id_spread_over_the_mixing_ranges(spark, doc_id):
+    rows = [(doc_id, f"text number {i} of many", "en", "s", 0) for i in range(6000)]
+    got = mixing.mixture(frame(spark, rows)).collect()
+    assert len(got) == 6000 and sorted(r.place for r in got) == list(range(0, 30_000, 5))
+    assert len({r.shuffle[:3] for r in got}) > 1000
+
+
 def test_mixing_of_edges(edges, empty):
     got = mixing.mixture(edges, mixing.Mix(budget=50_000)).collect()
     assert {r.doc_id for r in got} <= {None, 4, 5, 6, 7, 8} and got

@@ -83,7 +83,8 @@ def source_weights(docs: DataFrame, spec: Mix = Mix()) -> tuple[DataFrame, DataF
     any token have no share and are left out.
     """
     counted = pick(docs, "doc_id", "source", "text").select(
-        "doc_id", "source", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_tokens")
+        "doc_id", "source", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_tokens"),
+        F.substring(F.md5("text"), 1, 16).alias("digest"),
     )
     counted = materialise(counted.where("n_tokens > 0"), "mix-tokens")
     totals = counted.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
@@ -128,7 +129,8 @@ def mixture(docs: DataFrame, spec: Mix = Mix()) -> DataFrame:
 
     The running sums are two-level: sums of hash ranges per source and pass are added up (at most
     ``BUCKETS`` rows each), the rows of a range by a window in it. A source with a third of all rows is
-    so in 4,096 windows.
+    so in 4,096 windows. A row's place among them hangs on its doc_id and its text, so rows that share an
+    id (or have none) spread as well; only rows equal in both stay side by side.
     """
     counted, weights, exponent = source_weights(docs, spec)
     passes = F.greatest(F.lit(1), F.ceil(F.col("budget") / F.col("tokens"))).cast("int")
@@ -139,7 +141,7 @@ def mixture(docs: DataFrame, spec: Mix = Mix()) -> DataFrame:
         ), "s",
     ).withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)))
     used = used.withColumn(
-        "shuffle", F.md5(F.concat_ws(":", F.lit(str(spec.seed)), "pass", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+        "shuffle", F.md5(F.concat_ws(":", F.lit(str(spec.seed)), "pass", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "digest"))
     ).withColumn("bucket", F.substring("shuffle", 1, 3))
     keys = ["s", "pass", "bucket"]
     sums = used.groupBy(*keys).agg(F.sum("n_tokens").alias("sum"))
@@ -149,7 +151,7 @@ def mixture(docs: DataFrame, spec: Mix = Mix()) -> DataFrame:
         (F.col("pass") * F.col("tokens")).alias("earlier"), F.col("budget").alias("whole"), "weight",
     )
     offsets = sums.withColumn("offset", F.coalesce(F.sum("sum").over(before), F.lit(0))).join(facts, ["s", "pass"])
-    inside = Window.partitionBy(*keys).orderBy("shuffle", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys).orderBy("shuffle", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
         used.join(offsets.drop("sum"), keys)
         .withColumn("done", F.col("earlier") + F.col("offset") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
@@ -167,7 +169,8 @@ def oracle(spec: Mix) -> str:
     """The same in DuckDB: the exponent by 60 bisection steps over the sources of ``documents``."""
     return rf"""
 WITH RECURSIVE counted AS (
-    SELECT doc_id, source, CAST(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens FROM documents
+    SELECT doc_id, source, CAST(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens,
+           substr(md5(text), 1, 16) AS digest FROM documents
 ), used AS (SELECT * FROM counted WHERE n_tokens > 0),
 totals AS (SELECT source, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM used GROUP BY source),
 shares AS (SELECT source, tokens, ln(tokens / CAST(sum(tokens) OVER () AS DOUBLE)) AS ls FROM totals),
@@ -198,7 +201,7 @@ entropy_steps(i, lo, hi) AS (
     FROM powered
 ), uses AS (
     SELECT u.doc_id, u.source, r.pass, u.n_tokens, w.weight, w.x, w.budget, w.tokens,
-           md5('{spec.seed}:' || r.pass || ':' || coalesce(CAST(u.doc_id AS VARCHAR), '')) AS shuffle
+           md5('{spec.seed}:' || r.pass || ':' || coalesce(CAST(u.doc_id AS VARCHAR), '') || ':' || u.digest) AS shuffle
     FROM used u JOIN weighted w ON u.source IS NOT DISTINCT FROM w.source
     JOIN (SELECT CAST(range AS INTEGER) AS pass FROM range(64)) r
       ON r.pass < greatest(1, ceil(w.budget / CAST(w.tokens AS DOUBLE)))
