@@ -77,3 +77,24 @@ def test_compaction_reads_alike_and_keeps_later_states(spark):
     history.compact_runs(spark, path)
     states = {r.id: r.status for r in history.read_runs(spark, path).collect()}
     assert (states["8"], states["7"], states["0"], len(states)) == ("failed", "processing", "completed", 9)
+
+
+def test_compacted_files_follow_from_the_runs(spark):
+    path = scratch_path(spark, "test-ledger")
+    day = F.lit("2024-01-01").cast("timestamp_ntz")
+    runs = spark.range(2_500).select(
+        F.col("id").cast("string"), *[F.lit("x").alias(c) for c in ("name", "job_type", "status", "config", "result_summary", "error_message")],
+        day.alias("created_at"), day.alias("updated_at"),
+    )
+    for _ in range(2):
+        runs.repartition(6).write.mode("append").parquet(path)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        history.compact_runs(spark, path)
+        assert len(spark.read.parquet(path).inputFiles()) <= history.compacted_files(2_500) == 2
+        assert history.compact_runs(spark, path, rows_per_file=1_000) <= 2
+        assert 3 <= len(spark.read.parquet(path).inputFiles()) <= history.compacted_files(2_500, 1_000) == 6
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert history.read_runs(spark, path).count() == 2_500

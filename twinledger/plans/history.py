@@ -18,6 +18,7 @@ RUN_SCHEMA = (
     "result_summary string, error_message string, created_at timestamp_ntz, "
     "updated_at timestamp_ntz"
 )
+ROWS_PER_FILE = 100_000
 _SUMMARY = (
     "total_rows long, match long, mismatch long, missing_left long, missing_right long, "
     "duplicate_key long, _left_rows long, _right_rows long"
@@ -61,9 +62,16 @@ def latest_states(states: DataFrame) -> DataFrame:
     return newest.select("id", *[F.col(f"s.{c}").alias(c) for c in columns])
 
 
-def compact_runs(spark: SparkSession, path: str, rows_per_file: int = 100_000) -> int:
+def compacted_files(runs: int, rows_per_file: int = ROWS_PER_FILE) -> int:
+    """The most files that ``compact_runs`` leaves of so many runs: parts of about ``rows_per_file`` rows, of which
+    a longer one is cut."""
+    return 2 * max(1, -(-runs // rows_per_file))
+
+
+def compact_runs(spark: SparkSession, path: str, rows_per_file: int = ROWS_PER_FILE) -> int:
     """Merge the files of a ledger into few, sorted by creation and with the newest state of each run;
-    returns how many files were merged.
+    returns how many files were merged. Their number follows from the runs alone (``compacted_files``), not
+    from the session's partitions.
 
     The merged files are committed beside the old ones before those go. Readers take the newest state of
     a run, so the ledger reads alike before, between and after, also if the job ends half-way; states
@@ -72,8 +80,9 @@ def compact_runs(spark: SparkSession, path: str, rows_per_file: int = 100_000) -
     old = spark.read.schema(RUN_SCHEMA).parquet(path).inputFiles()
     if not old:
         return 0
-    newest = latest_states(spark.read.schema(RUN_SCHEMA).parquet(*old))
-    merged = newest.repartitionByRange("created_at", "id").sortWithinPartitions("created_at", "id")
+    states = spark.read.schema(RUN_SCHEMA).parquet(*old)
+    parts = compacted_files(states.select("id").distinct().count(), rows_per_file) // 2
+    merged = latest_states(states).repartitionByRange(parts, "created_at", "id").sortWithinPartitions("created_at", "id")
     merged.write.option("maxRecordsPerFile", rows_per_file).mode("append").parquet(path)
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for name in old:
