@@ -31,6 +31,17 @@ def test_deep_pages_equal_plain_ones(results, page, size, status):
     assert deep == plain
 
 
+def test_wide_pages_are_cut_by_number_and_keep_rows_without_an_id(spark, results):
+    odd = results.withColumn("row_id", F.when(F.col("row_id") % 10 != 1, F.col("row_id")))
+    rows = [tuple(r) for r in odd.orderBy(*report.RESULT_ORDER).collect()]
+    assert rows[0][0] is None
+    for page, size in ((1, 700), (2, 700), (1, 9_000), (2, 9_000), (3, 9_000), (4, 50), (40, 50)):
+        got = report.result_page(odd, page, size, shallow_rows=100)
+        assert [tuple(r) for r in got.collect()] == rows[(page - 1) * size : page * size]
+        limits = got._jdf.queryExecution().executedPlan().toString()
+        assert size <= 100 or not any(x in limits for x in ("GlobalLimit", "TakeOrdered", "CollectLimit"))
+
+
 def test_page_info():
     assert report.page_info(0, 1, 50) == {"page": 1, "pages": 1, "first_row": 0, "last_row": 0, "total": 0}
     assert report.page_info(101, 3, 50)["pages"] == 3

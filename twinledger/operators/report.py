@@ -188,22 +188,36 @@ def result_page(
     shallow_rows: int = SHALLOW_ROWS,
 ) -> DataFrame:
     """One page in row order. A deep page first narrows the row id range by counting, so no
-    task ever sorts or skips more than ``shallow_rows`` rows plus the rows of one row id."""
+    task ever sorts or skips more than ``shallow_rows`` rows plus the rows of one row id.
+
+    Of a page of more rows than that, what is left after narrowing is numbered by a distributed sort and
+    the page cut out by number, so no task holds the page.
+    """
     kept = filter_results(results, status, search)
     skip = (page - 1) * size
     if skip + size > shallow_rows:
         kept, skip = _narrow(kept, skip, size, shallow_rows)
-    return (
-        kept.select(*RESULT_COLUMNS).orderBy(*RESULT_ORDER).offset(skip).limit(size)
-    )
+    kept = kept.select(*RESULT_COLUMNS)
+    if size <= shallow_rows:
+        return kept.orderBy(*RESULT_ORDER).offset(skip).limit(size)
+    numbered = number_by(kept, list(RESULT_ORDER), "_nth")
+    return numbered.where(F.col("_nth").between(skip + 1, skip + size)).orderBy("_nth").drop("_nth")
 
 
 def _narrow(
     rows: DataFrame, skip: int, size: int, enough: int, buckets: int = 1024
 ) -> tuple[DataFrame, int]:
-    low, high = rows.agg(F.min(ROW_ID), F.max(ROW_ID)).first()
+    """The rows of a range of row ids that holds the page, and how many of them come before it. Rows without
+    a row id come first."""
+    low, high, unnumbered = rows.agg(F.min(ROW_ID), F.max(ROW_ID), F.count_if(F.col(ROW_ID).isNull())).first()
     if low is None:
         return rows, skip
+    if skip < unnumbered:
+        if skip + size <= unnumbered:
+            return rows.where(F.col(ROW_ID).isNull()), skip
+        rest, _ = _narrow(rows.where(F.col(ROW_ID).isNotNull()), 0, skip + size - unnumbered, enough, buckets)
+        return rows.where(F.col(ROW_ID).isNull()).union(rest), skip
+    skip -= unnumbered
     while True:
         width = max(1, -(-(high - low + 1) // buckets))
         inside = rows.where(F.col(ROW_ID).between(low, high))
