@@ -4,8 +4,10 @@ import random
 
 import pytest
 
+from twinledger.operators import report
 from twinledger.session import scratch_path
 from twinledger.sources import sinks
+from twinledger.sources import store as store_module
 from twinledger.sources.store import RESULT_SCHEMA, ResultStore
 
 
@@ -67,3 +69,30 @@ def test_pages_over_parts_with_ties(spark, seed):
         for page in (1, 2, 4, 9):
             got = [tuple(r)[:3] for r in store.page(page, 11, status).collect()]
             assert got == want[(page - 1) * 11 : page * 11]
+
+
+def test_small_blocks_make_no_small_files(spark):
+    rows = [(i if i % 9 else None, "match" if i % 2 else "mismatch", i % 5) for i in range(3_000)]
+    store = ResultStore(spark, scratch_path(spark, "store"), rows_per_file=10)
+    store.append(results(spark, rows[:2_000]).repartition(4))
+    store.append(results(spark, rows[2_000:]))
+    assert len(store.read().inputFiles()) <= 32
+    for status in (None, "mismatch"):
+        kept = [(i, s, f'{{"k":"{k}"}}') for i, s, k in rows if status in (None, s)]
+        want = sorted(kept, key=lambda r: (r[0] is not None, r[0] or 0, *r[1:]))
+        for page, size in ((1, 100), (2, 150), (5, 100), (1, 5_000), (9, 400)):
+            opened = store.page(page, size, status)
+            assert [tuple(r)[:3] for r in opened.collect()] == want[(page - 1) * size : page * size]
+
+
+def test_wide_pages_of_a_store_stay_distributed(spark, monkeypatch):
+    for module in (report, store_module):
+        monkeypatch.setattr(module, "SHALLOW_ROWS", 50)
+    monkeypatch.setattr(report.cut_page, "__defaults__", (50,))
+    rows = [(i, "match", i) for i in range(900)]
+    store = ResultStore(spark, scratch_path(spark, "store"), rows_per_file=10)
+    store.append(results(spark, rows[::2]))
+    store.append(results(spark, rows[1::2]))
+    page = store.page(2, 300)
+    assert [r.row_id for r in page.collect()] == list(range(300, 600))
+    assert "Limit" not in page._jdf.queryExecution().executedPlan().toString()

@@ -197,10 +197,14 @@ def result_page(
     skip = (page - 1) * size
     if skip + size > shallow_rows:
         kept, skip = _narrow(kept, skip, size, shallow_rows)
-    kept = kept.select(*RESULT_COLUMNS)
+    return cut_page(kept.select(*RESULT_COLUMNS), skip, size, shallow_rows)
+
+
+def cut_page(rows: DataFrame, skip: int, size: int, shallow_rows: int = SHALLOW_ROWS) -> DataFrame:
+    """``size`` rows after ``skip`` in row order; more than ``shallow_rows`` of them never meet in one task."""
     if size <= shallow_rows:
-        return kept.orderBy(*RESULT_ORDER).offset(skip).limit(size)
-    numbered = number_by(kept, list(RESULT_ORDER), "_nth")
+        return rows.orderBy(*RESULT_ORDER).offset(skip).limit(size)
+    numbered = number_by(rows, list(RESULT_ORDER), "_nth")
     return numbered.where(F.col("_nth").between(skip + 1, skip + size)).orderBy("_nth").drop("_nth")
 
 
