@@ -14,7 +14,7 @@ from twinledger.operators.search import search_indexed, write_key_index
 from twinledger.plans import history
 from twinledger.plans.run import compare, run_compare
 from twinledger.plans.spec import CompareOptions, CompareSpec, SourceSpec, TransformRule
-from twinledger.session import scratch_path
+from twinledger.session import materialise, scratch_path
 from twinledger.sources import load
 from twinledger.sources.jdbc import equi_depth_predicates
 from twinledger.sources.store import ResultStore
@@ -397,7 +397,7 @@ ORACLES["result_page_stored"] = o.ORACLES["result_page_deep"]
 def q_page_appended(spark, d):
     """Pages of one status over two appended parts whose row numbers overlap, put together again."""
     store = ResultStore(spark, scratch_path(spark, "store"), rows_per_file=700)
-    results = _order_results(spark, d)
+    results = materialise(_order_results(spark, d), "results")
     store.append(results.where("row_id % 3 = 0"))
     store.append(results.where("row_id % 3 <> 0"))
     total = store.counts().where("status = 'mismatch'").first()["n_rows"]
