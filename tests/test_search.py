@@ -6,6 +6,7 @@ from decimal import Decimal
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from twinledger.operators.report import filter_results
@@ -33,6 +34,18 @@ def test_index_equals_scan(spark):
         assert sorted(map(str, search_indexed(results, index, search).collect())) == want, search
 
 
+def test_index_is_made_without_a_shuffle_and_holds_every_posting(spark):
+    texts = [None, "", "ab", "abc", "abcabc", "\U0001F600x\U0001F600x", "a\u0000bc", "zzzz"] * 40
+    rows = [(None if i % 7 == 0 else i % 50, t) for i, t in enumerate(texts)]
+    results = spark.createDataFrame(rows, "row_id long, key_values string").repartition(3)
+    index = write_key_index(results, scratch_path(spark, "test-index"))
+    got = sorted(map(str, (r for r in index.selectExpr("gram", "explode(rows) AS row_id").collect())))
+    want = [(t[i : i + 3], n) for n, t in rows if t for i in sorted({t.index(t[j : j + 3]) for j in range(len(t) - 2)})]
+    assert got == sorted(str(Row(gram=g, row_id=n)) for g, n in want)
+    assert all(r.n == len(r.rows) for r in index.collect())
+    assert index.groupBy("gram").count().where("count > 1").count() > 0
+
+
 @pytest.mark.parametrize("kind,values", [
     ("long", [None, 5, 5, 5, 5, 5, 6, -7, 100]),
     ("double", [None, float("nan"), float("inf"), float("inf"), float("inf"), 1.5, -0.0, 2.5, float("-inf")]),

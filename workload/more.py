@@ -440,7 +440,7 @@ ORACLES["ge_fallback_many"] = o.ORACLES["ge_compare"].replace(fx.CUST_RIGHT, CUS
 @query("key_search_indexed")
 def q_key_search_indexed(spark, d):
     """Three searches through one trigram index, each with the rows a scan finds."""
-    results = _order_results(spark, d)
+    results = materialise(_order_results(spark, d).select("row_id", "status", "key_values"), "results")
     index = write_key_index(results, scratch_path(spark, "key-index"))
     found = [search_indexed(results, index, text).withColumn("search", F.lit(text)) for text in INDEX_SEARCHES]
     return found[0].union(found[1]).union(found[2]).select("search", "row_id", "status", "key_values")
