@@ -8,9 +8,10 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from twinledger.plans.spec import SourceSpec
-from twinledger.sources import load
+from twinledger.sources import delimited, load
 from twinledger.sources.delimited import LineStates, states_before
 
 
@@ -95,3 +96,30 @@ def test_separator_is_voted_by_all_lines(spark, tmp_path):
     (tmp_path / "b").mkdir()
     (tmp_path / "b" / "c.txt").write_text("word\nother word\n")
     assert load.detect_separator(spark, str(tmp_path / "b")) == ","
+
+
+def test_states_by_expression_equal_the_characters(spark):
+    rng = random.Random(5)
+    for separator in ",|\t;":
+        texts = ["".join(rng.choice(f'"{separator}a \r\u00e9') for _ in range(rng.randrange(12))) for _ in range(400)]
+        texts += ['"' + 'x""' * 2_000, "a" * 3_000]
+        lines = spark.createDataFrame([(t,) for t in texts], "value string")
+        shown = lines.select("value", *delimited._line_states(F.col("value"), separator, True)).collect()
+        for row in shown:
+            line = row.value.encode()
+            if len(line) > delimited.SHORT_LINE and '"' in row.value:
+                assert row.after_0 is None and row.after_1 is None
+            else:
+                assert (row.after_0, row.after_1) == tuple(plain_state(line, start, ord(separator)) for start in (0, 1))
+            assert row.wanted == bool(line.strip())
+
+
+def test_many_small_splits_share_tasks(spark, tmp_path, small_splits):
+    (tmp_path / "a.csv").write_text("k,v\n" + "".join(f'{i},"x\n""{"y" * (i % 7 * 300)}""\n"\n' for i in range(600)))
+    small_splits(2_000)
+    splits = spark.read.text(str(tmp_path)).rdd.getNumPartitions()
+    lines = delimited.scanned_lines(spark, str(tmp_path), ",")
+    assert len(lines.inputFiles()) <= 4 * spark.sparkContext.defaultParallelism < splits
+    assert lines.select("file", "block").distinct().count() > 100
+    got = load.load_numbered(spark, SourceSpec("csv", str(tmp_path)), "n").orderBy("n").collect()
+    assert [tuple(r) for r in got] == [(str(i), f'x\n"{"y" * (i % 7 * 300)}"\n', i + 1) for i in range(600)]

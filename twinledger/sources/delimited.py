@@ -12,20 +12,28 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from twinledger.session import broadcast_if_small, materialise
+from twinledger.session import broadcast_if_small, estimated_bytes, materialise
 
 # Fixed value: the separators that are looked for.
 SEPARATORS = ",;\t|"
 
 
+SHORT_LINE = 1_000
+"""Bytes of a line up to which Java's expressions tell its states; they recurse, so longer ones are left to Python."""
+
+TASK_BYTES = 32 << 20
+
+
 class LineStates:
     """What a line makes of either state, from its text alone; a quote opens a field only at its beginning."""
 
     def __init__(self, separator: str):
         sep = re.escape(separator.encode("latin-1"))
+        self.separator = sep.decode("latin-1")
         body = rb'[^"]*+(?:""[^"]*+)*+"[^%b]*+' % sep
         field = rb'(?:"%b|[^"%b][^%b]*+|)' % (body, sep, sep)
         self.outside = re.compile(rb"%b(?:%b%b)*+" % (field, sep, field), re.DOTALL)
@@ -37,6 +45,11 @@ class LineStates:
             return 0, 1
         return self._from_outside(line), self._from_inside(line)
 
+    def expressions(self) -> tuple[str, str]:
+        """What the whole of a line matches that ends outside, if it begins outside and if inside quotes."""
+        outside, body = (p.pattern.decode("latin-1") for p in (self.outside, self.closing))
+        return rf"(?s)\A{outside}\z", rf"(?s)\A{body}(?:{self.separator}{outside})?+\z"
+
     def _from_outside(self, line: bytes) -> int:
         return 0 if self.outside.fullmatch(line) else 1
 
@@ -65,7 +78,36 @@ _LINES = (
 )
 
 
-def _annotate(separator: str, skip_rows: int, multi_line: bool):
+def _packed(df: DataFrame, nbytes: int) -> DataFrame:
+    """Several splits per task where they are many and small; each stays whole and in its place."""
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    tasks = max(4 * df.sparkSession.sparkContext.defaultParallelism, -(-nbytes // TASK_BYTES))
+    return df.coalesce(tasks) if tasks < splits else df
+
+
+def _line_states(line: Column, separator: str, multi_line: bool) -> list[Column]:
+    """The states after a line for either state before it (NULL if the line is too long to tell here), and
+    whether it is more than blanks."""
+    text = F.decode(line.cast("binary"), "ISO-8859-1")
+    short = F.octet_length(line) <= SHORT_LINE
+    after = [
+        F.when(~F.contains(line, F.lit('"')), F.lit(way)).when(short, F.when(F.rlike(text, F.lit(ends)), 0).otherwise(1))
+        if multi_line else F.lit(0)
+        for way, ends in enumerate(LineStates(separator).expressions())
+    ]
+    wanted = F.btrim(line, F.lit(" \t\n\r\x0b\x0c")) != ""
+    return [*[a.cast("int").alias(f"after_{way}") for way, a in enumerate(after)], wanted.alias("wanted")]
+
+
+def _borders(batch: pa.RecordBatch) -> list[int]:
+    """Where another split begins within a batch."""
+    if batch.num_rows < 2:
+        return []
+    other = [pc.not_equal(c.slice(1), c.slice(0, batch.num_rows - 1)) for c in (batch.column(0), batch.column(1))]
+    return (np.flatnonzero(pc.or_(*other).to_numpy(zero_copy_only=False)) + 1).tolist()
+
+
+def _annotate(separator: str, skip_rows: int):
     """Lines in scan order with, for either state of the split's beginning, the states before and after
     them and the number of records of the split that begin up to them."""
     names = [part.split()[0] for part in _LINES.split(", ")]
@@ -74,28 +116,29 @@ def _annotate(separator: str, skip_rows: int, multi_line: bool):
         states = LineStates(separator)
         split, number, carried = None, 0, []
         for batch in batches:
-            files, blocks = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            borders = np.flatnonzero((files[1:] != files[:-1]) | (blocks[1:] != blocks[:-1])) + 1
-            for begin, end in zip([0, *borders.tolist()], [*borders.tolist(), batch.num_rows]):
+            borders = _borders(batch)
+            for begin, end in zip([0, *borders], [*borders, batch.num_rows]):
                 if begin == end:
                     continue
                 part = batch.slice(begin, end - begin)
-                if (files[begin], blocks[begin]) != split:
-                    split, number, carried = (files[begin], blocks[begin]), 0, [(0, 0), (1, 0)]
-                values = part.column(2).to_pylist()
-                after = np.array([states.after(v) if multi_line else (0, 0) for v in values], dtype=np.int64)
-                lines = np.arange(number, number + len(values))
-                wanted = np.array([bool(v.strip()) for v in values])
-                if blocks[begin] == 0:
+                file, block = part.column(0)[0].as_py(), part.column(1)[0].as_py()
+                if (file, block) != split:
+                    split, number, carried = (file, block), 0, [(0, 0), (1, 0)]
+                after = np.column_stack([pc.fill_null(part.column(i), -1).to_numpy() for i in (3, 4)]).astype(np.int64)
+                for i in np.flatnonzero(after[:, 0] < 0).tolist():
+                    after[i] = states.after(part.column(2)[i].as_py())
+                lines = np.arange(number, number + part.num_rows)
+                wanted = part.column(5).to_numpy(zero_copy_only=False).astype(bool)
+                if block == 0:
                     after[lines < skip_rows] = (0, 1)
-                    wanted &= lines >= skip_rows
+                    wanted = wanted & (lines >= skip_rows)
                 before, counts = [], []
                 for way, (state, records) in enumerate(carried):
                     known = states_before(after, state)
                     before.append(known.astype(np.int32))
                     counts.append(records + np.cumsum((known[:-1] == 0) & wanted))
                     carried[way] = (int(known[-1]), int(counts[-1][-1]))
-                number += len(values)
+                number += part.num_rows
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(lines), part.column(2),
                      *[pa.array(s[:-1]) for s in before], *[pa.array(s[1:]) for s in before], *map(pa.array, counts)],
@@ -107,11 +150,14 @@ def _annotate(separator: str, skip_rows: int, multi_line: bool):
 
 def scanned_lines(spark: SparkSession, path: str, separator: str, skip_rows: int = 0, multi_line: bool = True) -> DataFrame:
     """All physical lines with their states, written once: a second scan might split otherwise."""
-    lines = spark.read.option("lineSep", "\n").text(path).select(
+    text = spark.read.option("lineSep", "\n").text(path)
+    nbytes = estimated_bytes(text)
+    lines = text.select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.col("value").cast("binary").alias("value"),
+        F.col("value").cast("binary").alias("value"), *_line_states(F.col("value"), separator, multi_line),
     )
-    return materialise(lines.mapInArrow(_annotate(separator, skip_rows, multi_line), _LINES), "csv-lines")
+    written = materialise(_packed(lines, nbytes).mapInArrow(_annotate(separator, skip_rows), _LINES), "csv-lines")
+    return _packed(written, nbytes)
 
 
 def _splits(lines: DataFrame, skip_rows: int, has_header: bool) -> DataFrame:
