@@ -222,7 +222,7 @@ def csv_records(lines: DataFrame, splits: DataFrame, charset: str, has_header: b
     if longer:
         parts = F.array_sort(F.collect_list(F.struct("block", "line", "value")))
         records = records.union(
-            placed.where(~whole).groupBy("file", "is_first", "row").agg(parts.alias("parts")).select(
+            placed.where(~whole).groupBy("row", "is_first", "file").agg(parts.alias("parts")).select(
                 "file", "is_first", "row", F.array_join(F.transform("parts", lambda p: p["value"]), "\n").alias("value")
             )
         )
